@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dup, packing, secrets, topk, url_filter
+from . import decontaminate, near_dup, packing, quality, secrets, topk, toxicity, url_filter
+from .frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +33,15 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _read(spark, sf_dir, "labels"), toxicity.remainder("doc_id", 3) != 1)
+    held_out = toxicity.remainder("doc_id", 3) == 1
+    scored = toxicity.score(docs, model, name="score")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best inner products of every 20th vector against all others."""
     rows = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), topk.quantised(F.col("embedding")).alias("v"))
@@ -43,6 +53,20 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(_read(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items found in every document."""
+    found = decontaminate.find_leaks(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "distances")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document."""
+    featured = table(quality.with_features(_read(spark, sf_dir, "documents")), "features")
+    model = quality.fit(featured, _read(spark, sf_dir, "labels"), toxicity.remainder("doc_id", 5) != 0)
+    held_out = toxicity.remainder("doc_id", 5) == 0
+    return quality.score(featured, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict on every page's url."""
     return url_filter.filter_urls(_read(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
@@ -51,8 +75,11 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_neardup": op2_neardup,
     "op4_packing": op4_packing,
+    "op5_toxicity": op5_toxicity,
     "op6_topk": op6_topk,
     "op7_secrets": op7_secrets,
+    "op8_decontaminate": op8_decontaminate,
+    "op9_quality": op9_quality,
     "op10_urls": op10_urls,
 }
 
