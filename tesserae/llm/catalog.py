@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dup, packing, quality, secrets, topk, toxicity, url_filter
+from . import decontaminate, html_text, near_dup, packing, quality, secrets, topk, toxicity, url_filter
 from .frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(_read(spark, sf_dir, "pages"))
+
+
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_dup.near_duplicates(_read(spark, sf_dir, "documents"))
@@ -73,6 +78,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_html": op1_html,
     "op2_neardup": op2_neardup,
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
