@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, near_dup, packing, quality, secrets, topk, toxicity, url_filter
+from . import decontaminate, html_text, lm, near_dup, packing, quality, secrets, topk, toxicity, url_filter
 from .frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,11 @@ def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document under the interpolated bigram model."""
+    return lm.score(_read(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path())
@@ -80,6 +85,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_html": op1_html,
     "op2_neardup": op2_neardup,
+    "op3_lm": op3_lm,
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
     "op6_topk": op6_topk,
