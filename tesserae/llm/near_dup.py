@@ -33,6 +33,8 @@ THRESHOLD = 75
 #: A block holds about this many shingles and documents.
 BLOCK_SHINGLES, BLOCK_DOCS = 300_000, 1000
 _CELLS = 4_000_000
+#: The filter of ids in families has 2 ** 26 bits (8 MB) at any size; when full it lets all rows pass.
+FILTER_BITS = 26
 
 
 def _signed(a: np.ndarray) -> np.ndarray:
@@ -57,13 +59,39 @@ def _signatures(width: int):
     return run
 
 
-def _set_column(width: int):
+def _hash_bits(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, place) of each id in a bitmap of 2 ** FILTER_BITS bits."""
+    for batch in batches:
+        at = _hash_bits(batch.column("rep").to_numpy())
+        yield pa.record_batch({"chunk": at >> 15, "place": at & 32767})
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of hashed ids (column rep), of fixed size whatever their number: it lets all of them pass, and few others while it is sparse."""
+    bits = ids.select("rep").mapInArrow(_bitmaps, "chunk long, place long").groupBy("chunk").agg(F.bitmap_construct_agg("place").alias("b"))
+    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for r in bits.toLocalIterator():
+        out[r["chunk"] * 4096 : r["chunk"] * 4096 + 4096] = np.frombuffer(r["b"], np.uint8)
+    return out
+
+
+def _sets_of(width: int, shared):
+    """(rep, set) of the rows that the shared filter lets pass."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
         for batch in batches:
-            others = [c for c in batch.schema.names if c != "text"]
+            ids = batch.column("doc_id").drop_null().to_numpy()
+            batch = batch.filter(batch.column("doc_id").is_valid())
+            at = _hash_bits(ids)
+            batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7)) & 1 == 1))
             for a, b, buf, off in slices(batch.column("text")):
                 sets = [s.tobytes() for s in shingle_sets(buf, off, width)]
-                yield pa.record_batch({c: batch.column(c).slice(a, b - a) for c in others} | {"set": pa.array(sets, pa.binary())})
+                yield pa.record_batch({"rep": batch.column("doc_id").slice(a, b - a), "set": pa.array(sets, pa.binary())})
 
     return run
 
@@ -74,6 +102,10 @@ def linked(left: list[np.ndarray], right: list[np.ndarray] | None = None, thresh
     Overlaps are products of 0/1 matrices over the shingles that occur twice or
     more, a bounded number of columns at a time.
     """
+    if right is None and len(left) == 2:
+        shared = len(np.intersect1d(left[0], left[1], assume_unique=True))
+        hit = 100 * shared >= threshold * (len(left[0]) + len(left[1]) - shared)
+        return np.array([[True, hit], [hit, True]])
     sets = left + (right or [])
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     every = np.concatenate(sets)
@@ -87,8 +119,9 @@ def linked(left: list[np.ndarray], right: list[np.ndarray] | None = None, thresh
     column = np.cumsum(np.concatenate([[0], column[1:] != column[:-1]])) if len(column) else column
     k = len(left)
     overlap = np.zeros((k, len(sets) - k if right else k), np.float32)
-    width = max(64, _CELLS // len(sets))
-    for a in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+    columns = int(column[-1]) + 1 if len(column) else 0
+    width = min(columns, max(64, _CELLS // len(sets)))
+    for a in range(0, columns, width or 1):
         lo, hi = np.searchsorted(column, [a, a + width])
         m = np.zeros((len(sets), width), np.float32)
         m[row[lo:hi], column[lo:hi] - a] = 1
@@ -193,8 +226,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sizes = members.groupBy("family").agg(F.sum("n").alias("total"), F.count("*").alias("docs"))
     sizes = table(sizes.select("family", F.ceil(F.greatest(F.col("total") / BLOCK_SHINGLES, F.col("docs") / BLOCK_DOCS)).cast("int").alias("blocks")), "sizes")
     placed = table(table(members.select("rep", "family"), "members").join(sizes, "family").withColumn("block", bucket_of(F.col("rep"), F.col("blocks")).cast("int")), "placed")
-    sets = rows.join(placed, rows["doc_id"] == placed["rep"]).select("rep", "family", "blocks", "block", "text").dropDuplicates(["rep"])
-    sets = sets.mapInArrow(_set_column(width), "rep long, family long, blocks int, block int, set binary")
+    bits = docs.sparkSession.sparkContext.broadcast(id_filter(placed))
+    sets = rows.mapInArrow(_sets_of(width, bits), "rep long, set binary").join(placed, "rep").dropDuplicates(["rep"])
+    sets = table(sets.select("rep", "family", "blocks", "block", "set"), "sets")
 
     first = F.when(F.col("rep") == F.col("family"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     blocks = sets.withColumn("block", F.explode(first)).repartition("family", "block").sortWithinPartitions("family", "block")
@@ -209,9 +243,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         torn = table(loose.groupBy("family").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select("family"), "torn")
         if not torn.isEmpty():
             apart = table(loose.join(torn, "family"), "apart")
-            again = placed.join(apart.select("rep", "part"), "rep")
-            again = rows.join(again, rows["doc_id"] == again["rep"]).select("rep", "family", "blocks", "block", "part", "text").dropDuplicates(["rep"])
-            again = again.mapInArrow(_set_column(width), "rep long, family long, blocks int, block int, part long, set binary")
+            again = sets.join(apart.select("rep", "part"), "rep")
             other = F.explode(F.array_except(F.sequence(F.lit(0), F.col("blocks") - 1), F.array("block")))
             again = again.withColumn("other", other).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other")
             again = again.repartition("family", "low", "high").sortWithinPartitions("family", "low", "high")
