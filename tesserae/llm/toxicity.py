@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 
 from .kernels import mix, slices
 
-ORDERS = (3, 4, 5)
-TRAIN_ROWS = 5000
-FEATURES = 6000
+ORDERS = (4, 5, 6, 7)
+TRAIN_ROWS = 6000
+FEATURES = 2000
+#: Weight of the squared weights against the summed log loss.
+RIDGE = 0.3
 MIN_ROWS = 3
 THRESHOLD = 0.7
-_BITS = 22
+_BITS = 21
 _CHARS = 0x10000
 _LOWER = np.array([ord(c) if len(c := chr(i).lower()) == 1 else i for i in range(_CHARS)], np.uint32)
 _M = np.uint64(0xD6E8FEB86659FD93)
@@ -168,7 +170,7 @@ def train(texts: pa.Array, labels: np.ndarray) -> Model:
     for t in range(1, 301):
         z = bias + np.bincount(row, (w * r)[col], minlength=len(y))
         err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        grad = np.append(np.bincount(col, err[row], minlength=len(w)) * r / len(y) + 1e-4 * w, err.mean())
+        grad = np.append(np.bincount(col, err[row], minlength=len(w)) * r / len(y) + RIDGE * w / len(y), err.mean())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         step = 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, bias = w - step[:-1], bias - step[-1]
