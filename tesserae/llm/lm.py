@@ -285,7 +285,7 @@ def learn_weights(cells: np.ndarray, n: np.ndarray, types: int) -> np.ndarray:
     for _ in range(EM_STEPS):
         share = w[k] * p
         share /= share.sum(1, keepdims=True)
-        got = np.stack([np.bincount(k, share[:, j] * n, minlength=BUCKETS) for j in range(3)], 1)
+        got = np.stack([np.bincount(k, share[:, j] * n, minlength=BUCKETS) for j in range(3)], 1).astype(float)
         # one pseudo-count each keeps every weight above zero, so no text has probability 0
         got += np.array([0.0, 0.5, 0.5])
         w = got / got.sum(1, keepdims=True)

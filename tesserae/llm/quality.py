@@ -168,12 +168,12 @@ def train(m: np.ndarray, labels: np.ndarray) -> Model:
             g, h = gradients()
             cell = cells[f] * GRID + cells[e]
             gs, hs = (np.bincount(cell, x, minlength=GRID * GRID).reshape(GRID, GRID) for x in (g, h))
-            # a tree of two levels: one cut of f, then one cut of e on either side
-            _, at = _best_split(gs.sum(1), hs.sum(1))
+            # a tree of two levels: one cut of f and one cut of e on either side of it, by their joint gain
+            sides = lambda at: (slice(0, at), slice(at, GRID))
+            at = max(range(1, GRID), key=lambda at: sum(_best_split(gs[r].sum(0), hs[r].sum(0))[0] + gs[r].sum() ** 2 / (hs[r].sum() + 1) for r in sides(at)))
             step = np.zeros((GRID, GRID))
-            for rows in (slice(0, at), slice(at, GRID)):
-                if gs[rows].size:
-                    step[rows] = RATE * _tree(gs[rows].sum(0), hs[rows].sum(0))
+            for rows in sides(at):
+                step[rows] = RATE * _tree(gs[rows].sum(0), hs[rows].sum(0))
             t += step
             z += step[cells[f], cells[e]]
     return Model(bias, cuts, tables, [((f, e), coarse[f], coarse[e], t) for (f, e), t in grids.items()])

@@ -1,0 +1,55 @@
+"""The corpus pipeline, stage by stage."""
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tesserae.llm import decontaminate, toxicity
+
+from .test_classify import plain_spans
+from .test_text import brute_components, check_packing
+
+MID = "/root/testdata/sf0.01"
+
+
+def stage(name):
+    return dict(corpus_pipeline.STAGES)[name]
+
+
+def test_stages():
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "secrets", "packing"]
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{MID}/documents.parquet")
+    labels = spark.read.parquet(f"{MID}/labels.parquet")
+    benchmark = spark.read.parquet(f"{MID}/benchmark.parquet")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    clean = [(r.doc_id, r.text) for r in toxicity.score(docs.select("doc_id", "text"), model, name="s").collect() if r.s < toxicity.THRESHOLD]
+    toxic = {r.doc_id for r in labels.collect() if r.toxic}
+    assert len({i for i, _ in clean} & toxic) <= 1 and len({r.doc_id for r in labels.collect() if not r.toxic} - {i for i, _ in clean}) == 0
+    _, label = brute_components(clean)
+    items = [decontaminate.normalise(r.text) for r in benchmark.collect()]
+    kept = {}
+    for i, t in clean:
+        if label[i] == i and not any(s in decontaminate.normalise(t) for s in items):
+            out, at = "", 0
+            for a, _, b in plain_spans(t):
+                if b > at:
+                    out, at = out + (t[at:a] + "[SECRET]" if a >= at else ""), b
+            kept[i] = out + t[at:]
+    rows = corpus_pipeline.run(spark, MID).collect()
+    assert {r.doc_id for r in rows} == set(kept)
+    check_packing(rows, kept)
+
+
+@pytest.mark.parametrize("name", ["toxicity", "near_duplicates", "decontamination", "secrets"])
+def test_stage_of_odd_rows(spark, sf, name):
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "some text of its own", None, "s", 20), (4, "password=abcdefgh12", "en", "s", 19), (None, "no id here at all", "en", "s", 5), (3, "some text of its own", None, "s", 20)]
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{sf}/documents.parquet").schema)
+    got = stage(name)(spark, docs, sf)
+    assert got.columns == docs.columns and got.dtypes == docs.dtypes
+    assert {r.doc_id for r in got.collect()} == {1, 2, 3, 4, None}
+    if name == "secrets":
+        assert {r.text: r.n_chars for r in got.collect()}["[SECRET]"] == 8
+    assert stage(name)(spark, docs.limit(0), sf).collect() == []
