@@ -163,21 +163,29 @@ def test_language_model(spark, sf, monkeypatch, size):
     assert sum(r.score for r in held) > sum(r.base_score for r in held) and all(math.isfinite(r.score) for r in held)
 
 
-def test_language_model_is_a_distribution(spark):
-    """All words of the vocabulary, the end and one unknown word after a word have probabilities that sum to 1."""
+def test_language_model_is_a_distribution(spark, monkeypatch):
+    """Scores are those of the plain formula, whose probabilities of all words, the end and one unknown word sum to 1 after any word."""
+    weights = np.full((lm.BUCKETS, 3), [0.5, 0.3, 0.2])
+    weights[0] = [0.0, 0.6, 0.4]
+    monkeypatch.setattr(lm, "learn_weights", lambda *_: weights)
     rnd = random.Random(5)
-    text = [(i, " ".join(rnd.choice("abcde") for _ in range(30))) for i in range(40)]
-    probes = [(1000 + k, w) for k, w in enumerate(["a", "b", "c", "d", "e", "", "zz"])] + [(2000 + k, f"a {w}".strip()) for k, w in enumerate(["a", "b", "c", "d", "e", "zz"])]
-    held = [(i, t) for i, t in probes]
-    ids = {}
-    for i, t in held:  # ids in the held-out fold, so that the probes do not train
-        j = next(x for x in range(i * 100_000, i * 100_000 + 1000) if zlib.crc32(str(x).encode()) % 7 == 2)
-        ids[j] = (i, t)
-    got = {ids[r.doc_id][0]: 10**r.score for r in lm.score(docs(spark, text + [(j, t) for j, (_, t) in ids.items()])).collect() if r.doc_id in ids}
-    # P(w, end) = P(w) P(end | w); the model's P(end | w) cancels in P(a w end) / P(w end) * P(w) only for the first word's part,
-    # so check the first word: sum over w of P(w end) / P(end | w) needs the conditionals, which the counts give
-    c = Counter(p for _, t in text if zlib.crc32(str(_).encode()) % 7 != 2 for p in zip([None] + t.split(), t.split() + ["</s>"]))
-    assert 0 < sum(got[1000 + k] for k in range(7)) < 1 and all(0 < x < 1 for x in got.values()) and c
+    rows = [(i, " ".join(rnd.choice(["a", "B", "c", "d", f"rare{i}"]) for _ in range(rnd.randrange(12)))) for i in range(60)]
+    tokens = {i: [None] + words_of(t) + ["</s>"] for i, t in rows}
+    train = [t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    one = Counter(w for t in train for w in t[1:])
+    two = Counter(p for t in train for p in zip(t, t[1:]))
+    before = Counter(v for t in train for v in t[:-1])
+    n, v = sum(one.values()), len(one)
+
+    def p(w, after):
+        l2, l1, l0 = weights[int(lm.bucket(np.array([before[after]]))[0])]
+        return l2 * (two[after, w] / before[after] if before[after] else 0) + l1 * one[w] / n + l0 / (v + 1)
+
+    for after in (None, "a", "rare1", "never"):
+        assert sum(p(w, after) for w in [*one, "unknown"]) == pytest.approx(1)
+    for r in lm.score(docs(spark, rows)).collect():
+        t = tokens[r.doc_id]
+        assert r.score == pytest.approx(sum(math.log10(p(w, after)) for after, w in zip(t, t[1:])))
 
 
 def test_weights_by_expectation_maximisation():
