@@ -646,12 +646,15 @@ def flow_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("phase").agg(F.count("*").cast("int").alias("n"))
 
 
-def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _entries_of_log(e: DataFrame) -> DataFrame:
     """Events as additions and subtractions of whole numbers, by user."""
-    e = read(spark, sf_dir, "events")
     return e.select("user_id", F.col("event_id").alias("i"), F.when(F.col("event_type") == "error", "-").otherwise("+").alias("op"), (F.col("event_id") % 97).alias("v"))
 
 
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entries_of_log(read(spark, sf_dir, "events"))
+
+
 @query("SELECT user_id, CAST(sum(CASE WHEN event_type = 'error' THEN -(event_id % 97) ELSE event_id % 97 END) AS DOUBLE) AS state FROM events GROUP BY 1")
 def log_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oplog.replay(_log(spark, sf_dir), "user_id", "i", "op", "v")
@@ -665,18 +668,19 @@ def log_replay_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WRITES = T.StructType([T.StructField("k", T.LongType()), T.StructField("v", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("expire_at", T.TimestampType())])
 
 
-def _streamed(spark: SparkSession, sf_dir: str) -> str:
-    """Streams the events' writes through micro-batches; the folder of applied batches."""
+def _applied(spark: SparkSession, sf_dir: str, change: Callable[[DataFrame], DataFrame]) -> str:
+    """Streams the changed events through micro-batches; the folder of applied batches."""
     path, source = _scratch(spark), _scratch(spark)
     read(spark, sf_dir, "events").repartition(4, "event_id").write.parquet(source)
     schema = spark.read.parquet(source).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(source)
+    ingest.append_batches(stream, f"{path}/applied", f"{path}/checkpoint", change).awaitTermination()
+    return f"{path}/applied"
 
-    def writes(batch: DataFrame) -> DataFrame:
-        return batch.select(F.col("user_id").alias("k"), F.col("event_type").alias("v"), _micros().alias("seq"), keyed.expiry(F.col("ts"), 86_400).alias("expire_at"))
 
-    ingest.append_batches(stream, f"{path}/applied", f"{path}/checkpoint", writes).awaitTermination()
-    return f"{path}/applied"
+def _streamed(spark: SparkSession, sf_dir: str) -> str:
+    """The events as writes of their users, each alive for a day."""
+    return _applied(spark, sf_dir, lambda b: b.select(F.col("user_id").alias("k"), F.col("event_type").alias("v"), _micros().alias("seq"), keyed.expiry(F.col("ts"), 86_400).alias("expire_at")))
 
 
 @query("SELECT user_id AS k, arg_max(event_type, ts) AS v FROM events GROUP BY 1")
@@ -689,6 +693,22 @@ def stream_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.expiring_state(spark, _streamed(spark, sf_dir), ["k"], "seq", _WRITES, F.lit("2024-01-30").cast("timestamp")).select("k")
 
 
+@query("SELECT user_id AS k, arg_max(event_id, ts) AS v FROM events GROUP BY 1 ORDER BY v DESC, k DESC LIMIT 20")
+def stream_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest current values of a stream of upserts."""
+    path = _applied(spark, sf_dir, lambda b: b.select(F.col("user_id").alias("k"), F.col("event_id").alias("v"), _micros().alias("seq")))
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("k", "v", "seq")])
+    return ingest.capped_state(spark, path, "k", "v", "seq", schema, 20).select("k", "v")
+
+
+@query("SELECT user_id, CAST(sum(CASE WHEN event_type = 'error' THEN -(event_id % 97) ELSE event_id % 97 END) + 5 AS DOUBLE) AS state FROM events WHERE event_id > 100 GROUP BY 1")
+def stream_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streamed log entries after a snapshot's index, folded from its state."""
+    path = _applied(spark, sf_dir, _entries_of_log)
+    schema = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("i", T.LongType()), T.StructField("op", T.StringType()), T.StructField("v", T.LongType())])
+    return ingest.log_state(spark, path, "user_id", "i", "op", "v", schema, 5.0, 100)
+
+
 @query("SELECT event_type, date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily counts by type of a stream; the state is complete because a last row far ahead closes all windows."""

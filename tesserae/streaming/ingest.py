@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.keyed import alive, state
+from ..operators.oplog import replay
+from ..operators.stats import capped
 from ..sources.json_lines import parse_lines
 
 
@@ -37,6 +39,17 @@ def expiring_state(spark: SparkSession, path: str, keys: list[str], seq: str, sc
     return alive(upsert_state(spark, path, keys, seq, schema), now)
 
 
+def capped_state(spark: SparkSession, path: str, key: str, value: str, seq: str, schema: T.StructType, limit: int) -> DataFrame:
+    """What a capped field keeps of the current state: the `limit` largest values, ties to the larger key."""
+    return capped(upsert_state(spark, path, [key], seq, schema), value, key, limit)
+
+
+def log_state(spark: SparkSession, path: str, machine: str, index: str, op: str, value: str, schema: T.StructType, start: float = 0.0, after: int | None = None) -> DataFrame:
+    """(machine, state): applied log entries folded in order, each index once, from a snapshot on."""
+    once = spark.read.schema(schema).parquet(path).select(*schema.names).dropDuplicates([machine, index])
+    return replay(once, machine, index, op, value, start, after)
+
+
 def json_line_stream(spark: SparkSession, folder: str, schema: T.StructType, files_each: int = 100) -> DataFrame:
     """A stream of JSON lines of a folder; unreadable lines are left out."""
     return parse_lines(spark.readStream.option("maxFilesPerTrigger", files_each).text(folder), schema)
