@@ -1,8 +1,8 @@
 """Secret scan: key formats by regular expression, and sliding-window Shannon entropy over candidate strings.
 
-All of it is native SQL. Matches keep their places: extracting ``.*?pattern``
+All of it is native SQL. Matches keep their places: extracting ``\\G.*?pattern``
 gives each match with the text since the one before, so running sums of lengths
-are code-point positions.
+are code-point positions. The anchor makes the search stop after the last match.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ ALLOWED = r"^[A-Za-z/_=-]+$|^[0-9+/_=-]+$|^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0
 
 def _spans(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
     """Array of (start, kind, end, text of the group), leftmost and not overlapping."""
-    pieces = F.regexp_extract_all(text, F.lit(f"(?s)(?:.*?)(?:{pattern})"), F.lit(0))
+    pieces = F.regexp_extract_all(text, F.lit(f"\\G(?s:.*?)(?:{pattern})"), F.lit(0))
     whole = lambda e: F.regexp_extract(e, pattern, 0)
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,body:string>>").alias("out"))
 
