@@ -26,7 +26,7 @@ from .kernels import slices, span_hashes, words
 
 CAPACITY = 2048
 #: Pieces of one length are ranked within salts of about this many.
-RANK_GROUP = 50_000
+RANK_GROUP = 4_000
 #: A worker's memo of chunk -> token ids is emptied at this many ids.
 MEMO_IDS = 6_000_000
 WHITE = " \t\n\v\f\r"
