@@ -179,9 +179,9 @@ def agg_min_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.extreme(read(spark, sf_dir, "part"), "p_size", False)
 
 
-@query("WITH f AS (SELECT p_size FROM part WHERE p_size > 10 AND p_retailprice > 950) SELECT min(p_size) AS v, count(*) FILTER (p_size = (SELECT min(p_size) FROM f)) AS n FROM f")
+@query("WITH f AS (SELECT p_size FROM part WHERE p_size > 10 AND p_retailprice > 905) SELECT min(p_size) AS v, count(*) FILTER (p_size = (SELECT min(p_size) FROM f)) AS n FROM f")
 def agg_min_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.extreme(read(spark, sf_dir, "part"), "p_size", False, (F.col("p_size") > 10) & (F.col("p_retailprice") > 950))
+    return stats.extreme(read(spark, sf_dir, "part"), "p_size", False, (F.col("p_size") > 10) & (F.col("p_retailprice") > 905))
 
 
 @query("SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey <> (SELECT c_custkey FROM customer ORDER BY c_acctbal, c_custkey LIMIT 1)")
