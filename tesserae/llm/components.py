@@ -2,28 +2,67 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import table
 
 
+#: Links that one task contracts: 16 MB of node pairs.
+EDGES_PER_TASK = 1_000_000
+
+
 def _state(e: DataFrame) -> tuple:
     r = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
     return r["n"], r["x"]
 
 
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's links (a, b) as stars around the least node of each of its parts."""
+    got = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches if b.num_rows]
+    if got:
+        a, b = (np.concatenate(x) for x in zip(*got))
+        nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+        a, b = ends[: len(a)], ends[len(a) :]
+        label = np.arange(len(nodes))
+        while True:
+            new = label.copy()
+            least = np.minimum(label[a], label[b])
+            for x in (a, b, label[a], label[b]):
+                np.minimum.at(new, x, least)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        far = np.flatnonzero(label != np.arange(len(nodes)))
+        yield pa.record_batch({"a": nodes[far], "b": nodes[label[far]]})
+
+
+def _contract(edges: DataFrame) -> DataFrame:
+    return edges.mapInArrow(_contracted, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of the edges (a, b): the least node it is linked with, itself included.
 
     Self-links and repeated links are allowed, rows with a null end are not
-    used, and no edges give no rows. Every step's minima are written before
-    they are joined back, so a hub's rows are summed before they are shuffled
-    and both sides of each join are exchanges whose hot partitions AQE can split.
+    used, and no edges give no rows. Partitions are contracted to stars, then
+    dealt out again at EDGES_PER_TASK to a task and contracted once more; where
+    one task was enough, that is the result. Larger graphs go on with star steps.
+    Every step's minima are written before they are joined back, so a hub's rows
+    are summed before they are shuffled and both sides of each join are exchanges
+    whose hot partitions AQE can split.
     """
-    e = table(edges.dropna().filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    stars = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).dropna().filter("a <> b")
+    e = table(_contract(stars), "edges")
+    tasks = -(-e.count() // EDGES_PER_TASK)
+    e = table(_contract(e.coalesce(max(1, tasks))), "edges")
     before = _state(e)
-    while before[0]:
+    while before[0] and tasks > 1:
         both = e.union(e.select("b", "a")).toDF("u", "v")
         least = table(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
