@@ -62,12 +62,15 @@ def _label(tag: str, attrs: str) -> tuple[str, bool]:
     """Label of an element (its name and its first class), and whether its name or words mark it as no part of a text."""
     words: list[str] = []
     first = ""
+    name = tag
     for m in _ATTRIBUTE.finditer(attrs):
         value = html.unescape(m[2] or m[3] or m[4] or "").lower()
         words += _WORD.findall(value)
         if m[1].lower() == "class" and value.split():
             first = "." + re.sub(r"\d+", "0", value.split()[0])
-    return tag + first, tag in DROPPED or not DROPPED_WORDS.isdisjoint(words) or bool(attrs and _HIDDEN.search(attrs))
+        if m[1].lower() == "role" and value == "main":
+            name = "main"
+    return name + first, tag in DROPPED or not DROPPED_WORDS.isdisjoint(words) or bool(attrs and _HIDDEN.search(attrs))
 
 
 def parse(page: str) -> list:

@@ -208,7 +208,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     case; with fewer words, the whole sequence is one; without words, or null,
     the set is empty and linked with nothing. Rows are linked if 100 * shared >=
     threshold * union. component_id is the least id reachable; kept is doc_id =
-    component_id. Repeated rows are copies of one another. Rows with a null id
+    component_id. Repeated rows are copies of one another; an id
+    with several texts stands for one of them. Rows with a null id
     link nothing: their component_id is null and kept is false. An empty table
     gives no rows; other columns are not read.
     """

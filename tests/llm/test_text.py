@@ -327,4 +327,5 @@ def test_malformed_pages(page):
 def test_malformed_texts():
     text = lambda p: html_text.text_of(p, html_text.mark(html_text.first_wrapper(html_text.group(html_text.parse(p)), 1)), {}, "h")
     assert text("<p>a<p>b</div></p>") == "a\n\nb" and text('<p title="a>b">c</p>') == "c" and text("<table><tr><td>1<td>2<tr><td>3</table>") == "1\n\n2\n\n3"
+    assert text("<div>menu text that is long, longer than all</div><div role='main'>body</div>") == "body"
     assert text("<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>after</p>") == "deep\n\nafter"
