@@ -41,20 +41,34 @@ class Database:
         self.spark = spark
         self.tables: dict[str, TableDef] = {}
         self.frames: dict[str, DataFrame] = {}
-        self.known: DataFrame | None = None  # (id, ord) of all tables
+        self._removed: list[DataFrame] = []  # (id, ord) of removed rows: an id keeps its place
+        self._filled: set[str] = set()
         self._puts = 0
 
+    def known(self, but: str | None = None) -> DataFrame | None:
+        """(id, ord) of all ids that JSON rows have brought, in any table (but one); None without any."""
+        parts = [self.frames[n].select("id", "ord") for n in sorted(self._filled) if n != but] + self._removed
+        if not parts:
+            return None
+        every = parts[0]
+        for p in parts[1:]:
+            every = every.union(p)
+        return every.groupBy("id").agg(F.min("ord").alias("ord"))
+
     def create(self, table: TableDef | str) -> TableDef:
         """Declares a table; one of that name is replaced and is empty again."""
         table = declare(table) if isinstance(table, str) else table
         self.tables[table.name] = table
+        self._filled.discard(table.name)
         empty = ", ".join(["id string", "ord bigint", *(f"`{f.name}` {f.spark_type.simpleString()}" for f in table.fields), "seq bigint"])
         self.frames[table.name] = self.spark.createDataFrame([], empty)
         return table
 
     def attach(self, table: TableDef | str, frame: DataFrame, id_column: str, order: str | None = None) -> TableDef:
         """A table over an existing frame with unique ids; its order column (or the id) stands for the order of ingest."""
-        table = self.create(table)
+        table = declare(table) if isinstance(table, str) else table
+        self.tables[table.name] = table
+        self._filled.discard(table.name)
         c = frame[order or id_column]
         cols = [frame[f.name].cast(f.spark_type).alias(f.name) for f in table.fields]
         self.frames[table.name] = frame.select(frame[id_column].alias("id"), c.alias("ord"), *cols)
@@ -71,21 +85,29 @@ class Database:
             raise EngineError(f"{name} has no id")
         batch = upsert.parsed(rows, table, body, seq)
         if table.closed_ids:
-            seen = self.known.select("id", F.lit(True).alias("_seen")) if self.known is not None else None
+            seen = self.known()
+            seen = None if seen is None else seen.select("id", F.lit(True).alias("_seen"))
             batch = batch.withColumn("_seen", F.lit(None).cast("boolean")) if seen is None else batch.join(seen, "id", "left")
             refused = F.when(F.col("reason").isNull() & F.col("_seen").isNull(), "unknown id").otherwise(F.col("reason"))
             batch = batch.withColumn("reason", refused).drop("_seen")
         base = self._puts << 40
-        batch = batch.withColumn("seq", F.col("seq") + F.lit(base))
         self._puts += 1
-        new = batch.filter("reason is null").groupBy("id").agg(F.min("seq").alias("ord"))
-        self.known = new if self.known is None else self.known.union(new).groupBy("id").agg(F.min("ord").alias("ord"))
-        self.frames[name] = upsert.merged(self.frames[name].drop("ord"), batch, table).join(self.known, "id").select("id", "ord", *[f.name for f in table.fields], "seq")
+        batch = batch.withColumn("seq", F.col("seq") + F.lit(base))
+        frame = upsert.merged(self.frames[name] if name in self._filled else None, batch, table)
+        others = self.known(but=name)
+        if others is not None:  # an id that another table saw first has its place from there
+            earlier = others.withColumnRenamed("ord", "_ord")
+            frame = frame.join(earlier, "id", "left").withColumn("ord", F.least("ord", "_ord")).drop("_ord")
+        self.frames[name] = frame
+        self._filled.add(name)
         return batch.filter("reason is not null").select((F.col("seq") - F.lit(base)).alias("seq"), "id", "reason")
 
     def remove(self, name: str, gone: DataFrame) -> None:
         """Deletes the rows of these ids (column id)."""
-        self.frames[name] = self.frames[name].join(gone.select(F.col("id").cast(self.frames[name].schema["id"].dataType)), "id", "left_anti")
+        ids_ = gone.select(F.col("id").cast(self.frames[name].schema["id"].dataType))
+        if name in self._filled:
+            self._removed.append(self.frames[name].join(ids_, "id", "left_semi").select("id", "ord"))
+        self.frames[name] = self.frames[name].join(ids_, "id", "left_anti")
 
     def compile(self, query: str) -> IdSet:
         return compile_query(query, self.tables)
@@ -119,9 +141,8 @@ class Database:
             if missing:
                 raise EngineError(f"no such table: {', '.join(missing)}")
         else:
-            self.tables, self.frames, self.known = dict(found), {}, None
+            self.tables, self.frames, self._removed, self._filled = dict(found), {}, [], set()
         for n in found:
             self.frames[n] = self.spark.read.parquet(f"{path}/{n}")
-            if not about["partial"]:
-                seen = self.frames[n].select("id", "ord")
-                self.known = seen if self.known is None else self.known.union(seen).groupBy("id").agg(F.min("ord").alias("ord"))
+            if "seq" in self.frames[n].columns:
+                self._filled.add(n)

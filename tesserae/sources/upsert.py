@@ -40,10 +40,12 @@ def _latest(f: FieldDef) -> Column:
 
 
 def merged(current: DataFrame | None, batch: DataFrame, table: TableDef) -> DataFrame:
-    """(id, fields, seq) after an upsert: one row per id. One shuffle on id, with partial aggregation before it."""
-    accepted = batch.filter("reason is null").drop("reason")
-    rows = accepted if current is None else current.select(accepted.columns).union(accepted)
-    return rows.groupBy("id").agg(*[_latest(f).alias(f.name) for f in table.fields], F.max("seq").alias("seq"))
+    """(id, ord, fields, seq) after an upsert: one row per id, ord from its first row. One shuffle on id, with partial aggregation before it."""
+    rows = batch.filter("reason is null").drop("reason").withColumn("ord", F.col("seq"))
+    if current is not None:
+        rows = current.unionByName(rows)
+    fields = [f.name for f in table.fields]
+    return rows.groupBy("id").agg(F.min("ord").alias("ord"), *[_latest(f).alias(f.name) for f in table.fields], F.max("seq").alias("seq")).select("id", "ord", *fields, "seq")
 
 
 def latest_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

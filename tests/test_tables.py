@@ -42,6 +42,19 @@ def test_upsert(spark):
     assert [r.id for r in db.select('t.gender!="zz"').rows.collect()] == ["2", "9"]
 
 
+def test_ids_keep_their_place_over_tables(spark):
+    db = Database(spark)
+    db.create("a(id id, n int)")
+    db.create("b(id id, n int)")
+    db.put("a", rows(spark, {"id": "z", "n": 1}, {"id": "y", "n": 1}))
+    db.put("b", rows(spark, {"id": "x", "n": 1}, {"id": "y", "n": 1}, {"id": "z", "n": 1}))
+    assert [r.id for r in db.select("b.n==1").rows.collect()] == ["z", "y", "x"]
+    db.remove("a", spark.createDataFrame([("z",)], "id string"))
+    db.put("a", rows(spark, {"id": "w", "n": 1}, {"id": "z", "n": 1}))
+    assert [r.id for r in db.select("a.n==1").rows.collect()] == ["z", "y", "w"]
+    assert [r.id for r in db.select("a.n==1 || b.n==1").rows.collect()] == ["z", "y", "x", "w"]
+
+
 def test_closed_ids(spark):
     db = Database(spark)
     db.create("a(id id, n int)")
