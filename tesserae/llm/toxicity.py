@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ FEATURES = 2000
 RIDGE = 0.3
 MIN_ROWS = 3
 THRESHOLD = 0.7
+PARTS = 2
 _BITS = 21
 _CHARS = 0x10000
 _LOWER = np.array([ord(c) if len(c := chr(i).lower()) == 1 else i for i in range(_CHARS)], np.uint32)
@@ -57,13 +59,14 @@ def _grams(codes: np.ndarray, orders: tuple[int, ...] = ORDERS) -> Iterator[tupl
             yield n, h * np.uint64(2 * n + 1)
 
 
-def _row_grams(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, its distinct n-gram hashes) of a whole column."""
+def _row_grams(column: pa.Array, n: int, part: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, its distinct n-gram hashes) of a whole column; part: only those of one of PARTS ranges of the hash."""
     for a, _, buf, off in slices(column):
         codes, at = _codes(buf, off)
         h = mix(dict(_grams(codes, (n,))).get(n, np.empty(0, np.uint64)))
         for i, (x, y) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
-            g = np.sort(h[x : max(x, y - n + 1)])
+            g = h[x : max(x, y - n + 1)]
+            g = np.sort(g if part is None else g[g >> np.uint64(63) == part])
             yield a + i, g[np.concatenate([[True], g[1:] != g[:-1]])] if len(g) else g
 
 
@@ -79,13 +82,13 @@ def _merged(counts: tuple[np.ndarray, np.ndarray], more: list[np.ndarray]) -> tu
     return keys[at], np.add.reduceat(n, at) if len(at) else n
 
 
-def _row_counts(column: pa.Array, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _row_counts(column: pa.Array, rows: np.ndarray, n: int, part: int) -> tuple[np.ndarray, np.ndarray]:
     """In how many of the rows (a mask) each n-gram is."""
     out, held, size = (np.empty(0, np.uint64), np.empty(0, np.int32)), [], 0
-    for i, g in _row_grams(column.filter(pa.array(rows)), n):
+    for i, g in _row_grams(column.filter(pa.array(rows)), n, part):
         held.append(g)
         size += len(g)
-        if size > 2_000_000:
+        if size > 1_000_000:
             out, held, size = _merged(out, held), [], 0
     return _merged(out, held) if held else out
 
@@ -143,8 +146,8 @@ def train(texts: pa.Array, labels: np.ndarray) -> Model:
     if not ones or not zeros:
         return Model(np.empty(0, np.uint64), np.empty(0), float(prior))
     found = []
-    for n in ORDERS:  # one order at a time bounds the memory
-        (pg, pc), (qg, qc) = (_row_counts(texts, y == k, n) for k in (1, 0))
+    for n, part in product(ORDERS, range(PARTS)):  # one order and range of hashes at a time bounds the driver's memory
+        (pg, pc), (qg, qc) = (_row_counts(texts, y == k, n, part) for k in (1, 0))
         g = np.union1d(pg, qg)
         p, q = np.zeros(len(g), np.int64), np.zeros(len(g), np.int64)
         p[np.searchsorted(g, pg)], q[np.searchsorted(g, qg)] = pc, qc
