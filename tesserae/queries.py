@@ -283,7 +283,7 @@ def json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", config.parse_column(text, schema, {"other": "none"}).alias("v")).select("event_id", "v.*")
 
 
-@query()
+@query("""SELECT doc_id, '{' || concat_ws(',', CASE WHEN quality <> 0 THEN '"quality":' || quality END, CASE WHEN toxic <> 0 THEN '"toxic":true' END) || '}' AS json FROM labels""")
 def json_write_nodefaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON without members that are zero, empty or false."""
     p = read(spark, sf_dir, "labels")
