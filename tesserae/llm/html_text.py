@@ -39,6 +39,11 @@ DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay sidebar comment comments disqus replies respond "
     "share sharing social related newsletter subscribe signup breadcrumb breadcrumbs menu nav navbar navigation pagination footer masthead toolbar widget contentinfo complementary search login".split()
 )
+#: A compound class or id names an element by its last word before words of place or layout, unless a word says what the element has or lacks.
+PLACES = frozenset("area bar block body box buttons col column container content group inner item items left links list outer panel posts articles right row section slot stories top bottom unit wrap wrapper".split())
+QUALIFIERS = frozenset("has have no not non with without hide hides show shows is".split())
+#: Elements whose id names them; on headings, sections, paragraphs and the like it is the anchor of their subject.
+ID_NAMED = frozenset("div ul ol dl table header".split())
 MAIN = frozenset("article main".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -58,26 +63,42 @@ _WORD = re.compile("[a-z0-9]+")
 # A child that stands for several equal neighbours keeps all their texts in the order of the page.
 
 
-def _label(tag: str, attrs: str) -> tuple[str, bool]:
-    """Label of an element (its name and its first class), and whether its name or words mark it as no part of a text."""
-    words: list[str] = []
+def _names(token: str) -> bool:
+    """Whether a class, id or role says that its element is no part of a text."""
+    words = _WORD.findall(token)
+    if not QUALIFIERS.isdisjoint(words):
+        return False
+    while len(words) > 1 and (words[-1] in PLACES or words[-1].isdigit()):
+        words.pop()
+    return bool(words) and words[-1] in DROPPED_WORDS
+
+
+def _label(tag: str, attrs: str) -> tuple[str, bool, bool]:
+    """Label of an element (its name and its first class), whether its kind marks it as no part of a text, and whether a word does."""
+    named = False
     first = ""
     name = tag
     for m in _ATTRIBUTE.finditer(attrs):
         value = html.unescape(m[2] or m[3] or m[4] or "").lower()
-        words += _WORD.findall(value)
+        named = named or ((m[1].lower() != "id" or tag in ID_NAMED) and any(map(_names, value.split())))
         if m[1].lower() == "class" and value.split():
             first = "." + re.sub(r"\d+", "0", value.split()[0])
         if m[1].lower() == "role" and value == "main":
             name = "main"
-    return name + first, tag in DROPPED or not DROPPED_WORDS.isdisjoint(words) or bool(attrs and _HIDDEN.search(attrs))
+    return name + first, tag in DROPPED or bool(attrs and _HIDDEN.search(attrs)), named
 
 
 def parse(page: str) -> list:
-    """The tree of a page. Unclosed elements end where HTML lets them; unmatched ends are ignored; deeper levels than MAX_DEPTH are folded into their parent."""
+    """The tree of a page. Unclosed elements end where HTML lets them; unmatched ends are ignored; deeper levels than MAX_DEPTH are folded into their parent.
+
+    A word never drops an article or main element or what holds one, but it does drop parts of an article. Articles that a
+    word names (comments, say) save what holds them only on pages without any other.
+    """
     root: list = ["", False, [], []]
     stack, tags, run, folded = [root], [""], [], []
-    known: dict[tuple[str, str], tuple[str, bool]] = {}
+    known: dict[tuple[str, str], tuple[str, bool, bool]] = {}
+    by_word: list[bool] = [False]
+    saved: dict[bool, list[list]] = {}
 
     def flush() -> None:
         text = "".join(run)
@@ -89,7 +110,7 @@ def parse(page: str) -> list:
 
     def close(to: int) -> None:
         flush()
-        del stack[to:], tags[to:]
+        del stack[to:], tags[to:], by_word[to:]
 
     at, raw_until = 0, -1
     for m in _TOKEN.finditer(page):
@@ -139,10 +160,16 @@ def parse(page: str) -> list:
         key = (tag, m[3])
         if key not in known:
             known[key] = _label(*key)
-        label, dropped = known[key]
+        label, dropped, named = known[key]
         if tag == "header":
             dropped = dropped or not any(t in MAIN for t in tags)
+        is_main = label.split(".")[0] in MAIN
+        if is_main and not dropped:
+            inner = len(tags) - tags[::-1].index("article") if "article" in tags else 0
+            saved.setdefault(named, []).extend(n for n, w in zip(stack[inner:], by_word[inner:]) if w)
         if len(stack) < MAX_DEPTH:
+            by_word.append(named and not dropped and not is_main)
+            dropped = dropped or by_word[-1]
             node = [label, dropped, [], []]
             stack[-1][2].append(node)
             stack.append(node)
@@ -152,6 +179,8 @@ def parse(page: str) -> list:
     if raw_until < len(page):
         run.append(page[at:])
     close(len(stack))
+    for n in saved.get(False, saved.get(True, [])):
+        n[1] = False
     return root
 
 
@@ -297,7 +326,9 @@ def apply(wrapper: dict, node: list) -> list[bool]:
     match = dict((y, x) for x, y in _aligned([c["l"] for c in wrapper["c"]], [c[0] for c in node[2]]))
     out: list[bool] = []
     for y, c in enumerate(node[2]):
-        if y in match:
+        if c[1]:
+            out += [False] * len(_slots(c))
+        elif y in match:
             out += apply(wrapper["c"][match[y]], c)
         else:  # a repeated group of the wrapper takes further neighbours of its label
             same = [w for w in wrapper["c"] if w["l"] == c[0]]

@@ -329,3 +329,29 @@ def test_malformed_texts():
     assert text("<p>a<p>b</div></p>") == "a\n\nb" and text('<p title="a>b">c</p>') == "c" and text("<table><tr><td>1<td>2<tr><td>3</table>") == "1\n\n2\n\n3"
     assert text("<div>menu text that is long, longer than all</div><div role='main'>body</div>") == "body"
     assert text("<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>after</p>") == "deep\n\nafter"
+
+
+def one_page(page):
+    return html_text.text_of(page, html_text.mark(html_text.first_wrapper(html_text.group(html_text.parse(page)), 1)), {}, "h")
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="layout has-sidebar"><article><p>a</p><p>b</p></article></div>',
+        '<div class="sidebar"><div id="menu"><main><p>a</p><p>b</p></main></div></div>',
+        '<main><div class="layout sidebar"><article><p>a</p><p>b</p></article></div></main>',
+        '<article class="post no-comments"><p>a</p><p>b</p></article>',
+        '<article class="notice"><p>a</p><p>b</p></article>',
+        '<div class="widget"><article class="notice"><p>a</p><p>b</p></article></div>',
+        '<main class="content with-sidebar"><p>a</p><p>b</p></main>',
+        '<article><section id="related-work"><p>a</p></section><h2 id="social-policy">b</h2></article>',
+        '<article><section id="comments"><p>a</p></section><p class="ad-hoc">b</p></article>',
+        '<article><p>a</p><p>b</p><div class="comments"><article class="comment-body">c</article></div></article>',
+        '<article><p>a</p><p>b</p></article><div id="comments"><div class="text">c</div></div>',
+        '<main><article><p>a</p><p>b</p></article><ol class="comment-list"><li class="comment">c</li></ol></main>',
+        '<article><p>a</p><div class="ad">c</div><div class="cookie-banner">c</div><ul class="social-links"><li>c</li></ul><p>b</p><div class="site-footer">c</div></article>',
+    ],
+)
+def test_words_that_name_an_element(page):
+    assert one_page(page) == "a\n\nb"
