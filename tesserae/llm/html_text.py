@@ -6,8 +6,8 @@ after another into a wrapper: element against element in order, a part that
 only one side has becomes optional, unlike counts become a repeated group, and
 unlike texts become a slot, while a text that all pages share stays literal.
 
-A page's text is what its wrapper's slots hold in the main container: literals
-are template, and so are menus, footers, adverts and the like by their names.
+A page's text is what its wrapper's slots hold in the page's own main container:
+literals are template, and so are menus, footers, adverts and the like by their names.
 
 Trees are grouped by shape before they are aligned, and aligned within salts of
 a host before those meet, so a host with a third of all pages is no single task.
@@ -216,7 +216,7 @@ def group(node: list) -> list:
     return node
 
 
-# A wrapper node is {l: label, d: dropped, c: children, o: optional, r: repeated}; a slot has h: hash of its one text or null if
+# A wrapper node is {l: label, c: children, o: optional, r: repeated}; a slot has h: hash of its one text or null if
 # texts differ, p: up to LITERAL_PAGES hashes of pages that have it, m: characters in it over all pages.
 
 
@@ -225,7 +225,7 @@ def first_wrapper(node: list, page: int) -> dict:
     if node[0] == "#":
         hashes = {zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in node[3]}
         return {"l": "#", "o": False, "r": False, "h": hashes.pop() if len(hashes) == 1 else None, "p": [page], "m": sum(map(len, node[3]))}
-    return {"l": node[0], "d": node[1], "o": False, "r": node[5], "c": [first_wrapper(c, page) for c in node[2]]}
+    return {"l": node[0], "o": False, "r": node[5], "c": [first_wrapper(c, page) for c in node[2]]}
 
 
 def _aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
@@ -272,70 +272,78 @@ def merge(a: dict, b: dict) -> dict:
             folded[-1] = merge(folded[-1], n) | {"r": True, "o": both}
         else:
             folded.append(n)
-    return {"l": a["l"], "d": a["d"] and b["d"], "o": a["o"] or b["o"], "r": a["r"] or b["r"], "c": folded}
-
-
-def _mass(w: dict) -> int:
-    """Characters in the slots below that may be text."""
-    if w["l"] == "#":
-        return 0 if _literal(w) else w["m"]
-    return 0 if w["d"] else sum(map(_mass, w["c"]))
+    return {"l": a["l"], "o": a["o"] or b["o"], "r": a["r"] or b["r"], "c": folded}
 
 
 def _literal(slot: dict) -> bool:
     return slot["h"] is not None and len(slot["p"]) >= LITERAL_PAGES
 
 
-def _containers(w: dict) -> list[dict]:
-    """The outermost article and main elements with text."""
-    if w["l"] == "#" or w["d"]:
-        return []
-    if w["l"].split(".")[0] in MAIN:
-        return [w] if _mass(w) else []
-    return [x for c in w["c"] for x in _containers(c)]
-
-
 def mark(w: dict) -> dict:
-    """Adds k: kept to every slot. Without an article or main element, the container is the deepest element with most of the text."""
-    mains = _containers(w)
-    if not mains:
-        at = w
-        while True:
-            heavy = [c for c in at["c"] if c["l"] != "#" and _mass(c) > 0.7 * _mass(at)] if at["l"] != "#" else []
-            if not heavy or heavy[0]["r"]:
-                break
-            at = heavy[0]
-        mains = [at]
-
-    def go(n: dict, inside: bool) -> None:
-        inside = inside or any(n is x for x in mains)
-        if n["l"] == "#":
-            n["k"] = inside and not _literal(n)
-        else:
-            for c in n["c"]:
-                go(c, inside and not n["d"])
-
-    go(w, False)
+    """Adds k: no literal, to every slot."""
+    if w["l"] == "#":
+        w["k"] = not _literal(w)
+    else:
+        for c in w["c"]:
+            mark(c)
     return w
 
 
-def apply(wrapper: dict, node: list) -> list[bool]:
-    """Which places of a grouped page's text slots are kept, slot by slot in the page's order."""
+def apply(wrapper: dict, node: list) -> list[dict | None]:
+    """The wrapper's slots of a grouped page's text slots, slot by slot in the page's order; None where it has none."""
     if node[0] == "#":
-        return [bool(wrapper.get("k"))]
+        return [wrapper]
     match = dict((y, x) for x, y in _aligned([c["l"] for c in wrapper["c"]], [c[0] for c in node[2]]))
-    out: list[bool] = []
+    out: list[dict | None] = []
     for y, c in enumerate(node[2]):
-        if c[1]:
-            out += [False] * len(_slots(c))
-        elif y in match:
+        if y in match:
             out += apply(wrapper["c"][match[y]], c)
         else:  # a repeated group of the wrapper takes further neighbours of its label
             same = [w for w in wrapper["c"] if w["l"] == c[0]]
-            out += apply(same[0], c) if same else [False] * len(_slots(c))
+            out += apply(same[0], c) if same else [None] * len(_slots(c))
     return out
 
 
+def _mains(node: list) -> list[list]:
+    """The outermost article and main elements of a page that are not dropped and have text."""
+    if node[0] == "#" or node[1]:
+        return []
+    if node[0].split(".")[0] in MAIN:
+        return [node] if any(_live(node)) else []
+    return [x for c in node[2] for x in _mains(c)]
+
+
+def _live(node: list, live: bool = True) -> list[bool]:
+    """Which text slots below a node are in no dropped element, in order."""
+    if node[0] == "#":
+        return [live]
+    live = live and not node[1]
+    return [x for c in node[2] for x in _live(c, live)]
+
+
+def kept(wrapper: dict, node: list) -> list[bool]:
+    """Which text slots of a grouped page are its text, in order.
+
+    The container is the page's own article or main element, or without one the deepest element with most of the text.
+    """
+    own = apply(wrapper, node)
+    free = [live and (w is None or w["k"]) for live, w in zip(_live(node), own)]
+    at_slot = {id(s): k for k, s in enumerate(_slots(node))}
+    places = lambda n: [at_slot[id(s)] for s in _slots(n)]
+    mains = _mains(node)
+    if not mains:
+        mass = lambda n: sum(own[k]["m"] if own[k] else 1 for k in places(n) if free[k])
+        at = node
+        while True:
+            heavy = [c for c in at[2] if c[0] != "#" and mass(c) > 0.7 * mass(at)]
+            if not heavy or heavy[0][5]:
+                break
+            at = heavy[0]
+        mains = [at]
+    inside = {k for n in mains for k in places(n)}
+    return [f and k in inside for k, f in enumerate(free)]
+
+
 def text_of(page: str | None, wrapper: dict, memo: dict[tuple, list[bool]], host: str) -> str:
     """The kept blocks of a page in its order, joined by blank lines."""
     tree = parse(page or "")
@@ -354,9 +362,9 @@ def text_of(page: str | None, wrapper: dict, memo: dict[tuple, list[bool]], host
     if key not in memo:
         if len(memo) > 5000:
             memo.clear()
-        memo[key] = apply(wrapper, grouped)
-    kept = sorted(p for slot, k in zip(_slots(grouped), memo[key]) if k for p in slot[3])
-    return "\n\n".join(t for _, t in kept)
+        memo[key] = kept(wrapper, grouped)
+    places = sorted(p for slot, k in zip(_slots(grouped), memo[key]) if k for p in slot[3])
+    return "\n\n".join(t for _, t in places)
 
 
 def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -355,3 +355,15 @@ def one_page(page):
 )
 def test_words_that_name_an_element(page):
     assert one_page(page) == "a\n\nb"
+
+
+def texts(spark, pages, url="http://d.example/"):
+    df = spark.createDataFrame([(k, url, p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in html_text.extract(df).orderBy("page_id").collect()]
+
+
+@pytest.mark.parametrize("url", ["http://d.example/", None])
+def test_two_templates_of_a_host(spark, url):
+    first = [f"<div class='top'>Top {k}</div><article><h1>Head {k}</h1><p>Text {k} of the article.</p></article>" for k in range(5)]
+    second = [f"<div class='story'><p>Story {k}</p><p>Other text {k} of the story.</p></div><main></main>" for k in range(5)]
+    assert texts(spark, first + second, url) == [f"Head {k}\n\nText {k} of the article." for k in range(5)] + [f"Story {k}\n\nOther text {k} of the story." for k in range(5)]
