@@ -6,8 +6,9 @@ after another into a wrapper: element against element in order, a part that
 only one side has becomes optional, unlike counts become a repeated group, and
 unlike texts become a slot, while a text that all pages share stays literal.
 
-A page's text is what its wrapper's slots hold in the page's own main container:
-literals are template, and so are menus, footers, adverts and the like by their names.
+A page's text is what the page's own main container holds, without menus, footers,
+adverts and the like by their names. An article or main element is kept whole;
+in a container found without one, the wrapper's literals are template.
 
 Trees are grouped by shape before they are aligned, and aligned within salts of
 a host before those meet, so a host with a third of all pages is no single task.
@@ -324,15 +325,16 @@ def _live(node: list, live: bool = True) -> list[bool]:
 def kept(wrapper: dict, node: list) -> list[bool]:
     """Which text slots of a grouped page are its text, in order.
 
-    The container is the page's own article or main element, or without one the deepest element with most of the text.
+    The container is the page's own article or main element, kept whole, or without one the deepest element with most of the text, without literals.
     """
-    own = apply(wrapper, node)
-    free = [live and (w is None or w["k"]) for live, w in zip(_live(node), own)]
+    live = _live(node)
     at_slot = {id(s): k for k, s in enumerate(_slots(node))}
     places = lambda n: [at_slot[id(s)] for s in _slots(n)]
     mains = _mains(node)
     if not mains:
-        mass = lambda n: sum(own[k]["m"] if own[k] else 1 for k in places(n) if free[k])
+        own = apply(wrapper, node)
+        live = [x and (w is None or w["k"]) for x, w in zip(live, own)]
+        mass = lambda n: sum(own[k]["m"] if own[k] else 1 for k in places(n) if live[k])
         at = node
         while True:
             heavy = [c for c in at[2] if c[0] != "#" and mass(c) > 0.7 * mass(at)]
@@ -341,7 +343,7 @@ def kept(wrapper: dict, node: list) -> list[bool]:
             at = heavy[0]
         mains = [at]
     inside = {k for n in mains for k in places(n)}
-    return [f and k in inside for k, f in enumerate(free)]
+    return [x and k in inside for k, x in enumerate(live)]
 
 
 def text_of(page: str | None, wrapper: dict, memo: dict[tuple, list[bool]], host: str) -> str:
@@ -441,7 +443,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
 
     Null and empty pages, and pages without text of their own, have an empty
     text. A null or malformed url counts as one host of its own, "". Repeated
-    rows are each extracted; copies of a page do not make its texts literals.
+    rows are each extracted; copies of a page do not make its texts literals,
+    and no text of an article or main element is left out for being a literal.
     Other columns are not read.
     """
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), F.col(page).alias("html"))

@@ -367,3 +367,12 @@ def test_two_templates_of_a_host(spark, url):
     first = [f"<div class='top'>Top {k}</div><article><h1>Head {k}</h1><p>Text {k} of the article.</p></article>" for k in range(5)]
     second = [f"<div class='story'><p>Story {k}</p><p>Other text {k} of the story.</p></div><main></main>" for k in range(5)]
     assert texts(spark, first + second, url) == [f"Head {k}\n\nText {k} of the article." for k in range(5)] + [f"Story {k}\n\nOther text {k} of the story." for k in range(5)]
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div role=main"])
+def test_literals_inside_an_article(spark, tag):
+    end = tag.split()[0]
+    recipes = [f"<ul><li>Link {k}</ul><{tag}><h1>Dish {k}</h1><h2>Ingredients</h2><ul><li>Salt {k}</ul><h2>Method</h2><ol><li>Stir {k}</ol></{end}>" for k in range(5)]
+    assert texts(spark, recipes) == [f"Dish {k}\n\nIngredients\n\nSalt {k}\n\nMethod\n\nStir {k}" for k in range(5)]
+    same_article = [f"<div class=top>Top {k}</div><{tag}><h1>Head</h1><p>The same text.</p></{end}><script>{k}</script>" for k in range(5)]
+    assert texts(spark, same_article) == ["Head\n\nThe same text."] * 5
