@@ -48,6 +48,8 @@ ID_NAMED = frozenset("div ul ol dl table header".split())
 MAIN = frozenset("article main".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Texts in these are blocks of a text even if they are links as a whole.
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre".split())
 MAX_DEPTH = 60
 #: A text is a literal of the wrapper if at least so many different pages have it and none has another in its place.
 LITERAL_PAGES = 3
@@ -59,8 +61,11 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _WORD = re.compile("[a-z0-9]+")
+_LETTER = re.compile(r"\w")
+_HREF = re.compile(r"(?:^|\s)href\s*=", re.I)
 
-# A tree node is [label, dropped, children, texts]; label "#" is a text slot, whose texts are the strings of its places.
+# A tree node is [label, dropped, children, texts]; label "#" is a text slot, whose texts are the strings of its places, each
+# with whether it is more than links.
 # A child that stands for several equal neighbours keeps all their texts in the order of the page.
 
 
@@ -100,14 +105,22 @@ def parse(page: str) -> list:
     known: dict[tuple[str, str], tuple[str, bool, bool]] = {}
     by_word: list[bool] = [False]
     saved: dict[bool, list[list]] = {}
+    linked = plain = False
+
+    def take(text: str) -> None:
+        nonlocal plain
+        run.append(text)
+        plain = plain or not linked and _LETTER.search(html.unescape(text)) is not None
 
     def flush() -> None:
-        text = "".join(run)
+        nonlocal linked, plain
+        text, prose = "".join(run), plain or tags[-1] in PROSE
         run.clear()
+        linked = plain = False
         if text and not text.isspace():
             text = " ".join(html.unescape(text).split())
             if text:
-                stack[-1][2].append(["#", False, [], [text]])
+                stack[-1][2].append(["#", False, [], [(text, prose)]])
 
     def close(to: int) -> None:
         flush()
@@ -117,7 +130,7 @@ def parse(page: str) -> list:
     for m in _TOKEN.finditer(page):
         if m.start() < raw_until:
             continue
-        run.append(page[at : m.start()])
+        take(page[at : m.start()])
         at = m.end()
         tag = m[2]
         if tag is None:
@@ -127,6 +140,8 @@ def parse(page: str) -> list:
             if tag in INLINE:
                 if tag == "body":
                     flush()
+                elif tag == "a":
+                    linked = False
             elif folded and tag in folded:
                 flush()
                 del folded[len(folded) - 1 - folded[::-1].index(tag) :]
@@ -149,6 +164,8 @@ def parse(page: str) -> list:
                 run.append(" ")
             elif tag == "body":
                 flush()
+            elif tag == "a":
+                linked = _HREF.search(m[3]) is not None
             continue
         flush()
         if tag in CLOSES_P and "p" in tags:
@@ -178,7 +195,7 @@ def parse(page: str) -> list:
         else:
             folded.append(tag)
     if raw_until < len(page):
-        run.append(page[at:])
+        take(page[at:])
     close(len(stack))
     for n in saved.get(False, saved.get(True, [])):
         n[1] = False
@@ -218,14 +235,14 @@ def group(node: list) -> list:
 
 
 # A wrapper node is {l: label, c: children, o: optional, r: repeated}; a slot has h: hash of its one text or null if
-# texts differ, p: up to LITERAL_PAGES hashes of pages that have it, m: characters in it over all pages.
+# texts differ, p: up to LITERAL_PAGES hashes of pages that have it, a: whether any of its texts is more than links.
 
 
 def first_wrapper(node: list, page: int) -> dict:
     """The wrapper of one page."""
     if node[0] == "#":
-        hashes = {zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in node[3]}
-        return {"l": "#", "o": False, "r": False, "h": hashes.pop() if len(hashes) == 1 else None, "p": [page], "m": sum(map(len, node[3]))}
+        hashes = {zlib.crc32(t.encode("utf-8", "surrogatepass")) for t, _ in node[3]}
+        return {"l": "#", "o": False, "r": False, "h": hashes.pop() if len(hashes) == 1 else None, "p": [page], "a": any(a for _, a in node[3])}
     return {"l": node[0], "o": False, "r": node[5], "c": [first_wrapper(c, page) for c in node[2]]}
 
 
@@ -258,7 +275,7 @@ def merge(a: dict, b: dict) -> dict:
     """Aligns two wrappers with the same label."""
     if a["l"] == "#":
         pages = sorted({*a["p"], *b["p"]})[:LITERAL_PAGES]
-        return {"l": "#", "o": a["o"] or b["o"], "r": a["r"] or b["r"], "h": a["h"] if a["h"] == b["h"] else None, "p": pages, "m": a["m"] + b["m"]}
+        return {"l": "#", "o": a["o"] or b["o"], "r": a["r"] or b["r"], "h": a["h"] if a["h"] == b["h"] else None, "p": pages, "a": a["a"] or b["a"]}
     out, i, j = [], 0, 0
     optional = lambda n: n | {"o": True}
     for x, y in [*_aligned([n["l"] for n in a["c"]], [n["l"] for n in b["c"]]), (len(a["c"]), len(b["c"]))]:
@@ -325,23 +342,22 @@ def _live(node: list, live: bool = True) -> list[bool]:
 def kept(wrapper: dict, node: list) -> list[bool]:
     """Which text slots of a grouped page are its text, in order.
 
-    The container is the page's own article or main element, kept whole, or without one the deepest element with most of the text, without literals.
+    The container is the page's own article or main element, kept whole. Without one it is the lowest element that holds
+    all blocks that are not dropped, no literals and not links only; literals are left out of it.
     """
     live = _live(node)
     at_slot = {id(s): k for k, s in enumerate(_slots(node))}
-    places = lambda n: [at_slot[id(s)] for s in _slots(n)]
+    places = lambda n: {at_slot[id(s)] for s in _slots(n)}
     mains = _mains(node)
     if not mains:
         own = apply(wrapper, node)
         live = [x and (w is None or w["k"]) for x, w in zip(live, own)]
-        mass = lambda n: sum(own[k]["m"] if own[k] else 1 for k in places(n) if live[k])
-        at = node
-        while True:
-            heavy = [c for c in at[2] if c[0] != "#" and mass(c) > 0.7 * mass(at)]
-            if not heavy or heavy[0][5]:
-                break
-            at = heavy[0]
-        mains = [at]
+        free = {k for k, x in enumerate(live) if x}
+        blocks = {k for k in free if own[k] is None or own[k]["a"]} or free
+        at: list | None = node
+        while at:
+            mains = [at]
+            at = next((c for c in at[2] if blocks and blocks <= places(c)), None)
     inside = {k for n in mains for k in places(n)}
     return [x and k in inside for k, x in enumerate(live)]
 
@@ -353,7 +369,7 @@ def text_of(page: str | None, wrapper: dict, memo: dict[tuple, list[bool]], host
 
     def number(n: list) -> None:
         if n[0] == "#":
-            n[3] = [(len(flat), n[3][0])]
+            n[3] = [(len(flat), n[3][0][0])]
             flat.append(n)
         for c in n[2]:
             number(c)

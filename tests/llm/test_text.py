@@ -376,3 +376,16 @@ def test_literals_inside_an_article(spark, tag):
     assert texts(spark, recipes) == [f"Dish {k}\n\nIngredients\n\nSalt {k}\n\nMethod\n\nStir {k}" for k in range(5)]
     same_article = [f"<div class=top>Top {k}</div><{tag}><h1>Head</h1><p>The same text.</p></{end}><script>{k}</script>" for k in range(5)]
     assert texts(spark, same_article) == ["Head\n\nThe same text."] * 5
+
+
+def test_blocks_beside_the_longest(spark):
+    menu = "<div><ul><li><a href='/{0}'>Link {0}</a> | <li><a href='/x{0}'>Other link {0}</a></ul></div>"
+    nested = "<div id=page><h1>Title {0}</h1><p class=lead>Lead {0}</p><div class=body><div><h2><a href='/{0}'>Head {0}</a></h2></div><div><p>{1}</p><p>{1}</p></div></div><ul><li>Note {0}</ul></div>"
+    for page, want in (
+        (nested, "Title {0}\n\nLead {0}\n\nHead {0}\n\n{1}\n\n{1}\n\nNote {0}"),
+        ("<div><h1><a href='/{0}'>Title {0}</a></h1><p>{1}</p></div>", "Title {0}\n\n{1}"),
+        ("<div><div>Title {0}</div><div>{1}</div></div>", "Title {0}\n\n{1}"),
+    ):
+        for top in ("", menu):
+            pages = [(top + page).format(k, f"Long text {k}. " * 30) for k in range(4)]
+            assert texts(spark, pages) == [want.format(k, (f"Long text {k}. " * 30).strip()) for k in range(4)]
