@@ -33,8 +33,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; every document stays, and n_chars follows its text."""
-    clean = secrets.redact(docs)
+    """Secrets, also those joined to another one, are replaced by a mark; every document stays, and n_chars follows its text."""
+    clean = secrets.redact(docs, rest=True)
     return clean.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
 
 

@@ -22,6 +22,8 @@ WINDOW = 20
 HEX_BITS, ALNUM_BITS, MIXED_BITS = 2.9, 3.7, 3.85
 #: Candidates that are never secrets: words, plain numbers, UUIDs, dates and paths of words, sample keys.
 ALLOWED = r"^[A-Za-z/_=-]+$|^[0-9+/_=-]+$|^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|EXAMPLE|example|^[A-Za-z0-9]{1,12}([/_-][A-Za-z0-9]{1,12})+$"
+#: The same with whole sample keys only, for stretches between base spans.
+ALLOWED_REST = ALLOWED.replace("EXAMPLE|example", "^AKIA[A-Z0-9]{0,12}EXAMPLE$|^[A-Za-z0-9/+]{30}EXAMPLEKEY$")
 
 
 def _spans(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
@@ -70,11 +72,21 @@ def _windows(body: Column, bits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), zero, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
 
-def _entropy_spans(text: Column, base: Column) -> Column:
-    candidates = F.filter(
-        _spans(text, CANDIDATE, 3),
-        lambda c: ~c["body"].rlike(ALLOWED) & ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])),
-    )
+def _rest(c: Column, base: Column) -> Column:
+    """The stretches of a candidate of WINDOW characters or more that no base span covers."""
+    part = lambda a, b: F.struct(a.alias("start"), b.alias("end"), F.substr(c["body"], a - c["start"] + 1, b - a).alias("body"))
+    zero = F.struct(c["start"].alias("at"), F.array().cast("array<struct<start:int,end:int,body:string>>").alias("out"))
+    add = lambda acc, to: F.when(to - acc["at"] >= WINDOW, F.concat(acc["out"], F.array(part(acc["at"], to)))).otherwise(acc["out"])
+    touching = F.filter(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    return F.aggregate(F.sort_array(touching), zero, lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), add(acc, b["start"]).alias("out")), lambda acc: add(acc, c["end"]))
+
+
+def _entropy_spans(text: Column, base: Column, rest: bool) -> Column:
+    candidates = _spans(text, CANDIDATE, 3)
+    if rest:
+        candidates = F.filter(F.flatten(F.transform(candidates, lambda c: _rest(c, base))), lambda c: ~c["body"].rlike(ALLOWED_REST))
+    else:
+        candidates = F.filter(candidates, lambda c: ~c["body"].rlike(ALLOWED) & ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     bits = lambda body: F.when(body.rlike("^[0-9a-fA-F]+$"), HEX_BITS).when(body.rlike("^[0-9a-zA-Z]+$"), ALNUM_BITS).otherwise(F.lit(MIXED_BITS))
     tried = F.transform(candidates, lambda c: F.struct(c["start"].alias("start"), _windows(c["body"], bits(c["body"])).alias("w")))
     kept = F.filter(tried, lambda x: x["w"]["first"] >= 0)
@@ -86,30 +98,32 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", name(x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, text: str = "text", rest: bool = False) -> DataFrame:
     """Adds the array column secret_spans of (start, kind, end), sorted, to every row.
 
     kind is an index into KINDS; starts and ends are code points, ends
     exclusive. Null and empty texts have no spans. An entropy span is one
     candidate's stretch from its first to its last window over the threshold;
     candidates that overlap a base span or are on the allow-list have none.
+    With rest, what base spans leave of a candidate is scanned, and only whole
+    sample keys are allowed, not every candidate with "example" in it.
     Repeated rows are scanned each on its own; an input column secret_spans is replaced.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     keep = F.filter(_spans(t, ASSIGN, 0, 1), lambda x: F.char_length(x["body"]) >= 8)
     base = F.transform(F.concat(keep, _spans(t, ACCESS, 1), _spans(t, HEX, 2)), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
     own = [c for c in docs.columns if c != "secret_spans"]
-    found = docs.select(*own, base.alias("_base")).select(*own, "_base", F.when(t.rlike(CANDIDATE), _entropy_spans(t, F.col("_base"))).alias("_more"))
+    found = docs.select(*own, base.alias("_base")).select(*own, "_base", F.when(t.rlike(CANDIDATE), _entropy_spans(t, F.col("_base"), rest)).alias("_more"))
     spans = F.sort_array(F.concat(F.col("_base"), F.coalesce(F.col("_more"), F.slice(F.col("_base"), 1, 0))))
     return found.select(*own, spans.alias("secret_spans"))
 
 
-def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", rest: bool = False) -> DataFrame:
     """The same columns with every secret's characters replaced by the mark; overlapping spans become one mark.
 
     Rows without a secret, null texts included, stay as they are.
     """
-    found = scan_secrets(docs, text)
+    found = scan_secrets(docs, text, rest)
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
