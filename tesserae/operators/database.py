@@ -12,6 +12,7 @@ from ..plans.predicate import IdSet, compile_query, ids
 from ..sources import upsert
 from ..sources.ddl import declare
 from ..types import EngineError, FieldDef, Kind, TableDef
+from .stats import capped, capped_by_key
 
 
 @dataclass(frozen=True)
@@ -34,6 +35,24 @@ def page(matched: DataFrame, offset: int = 0, limit: int = 100) -> DataFrame:
     return matched.orderBy("ord", "id").offset(max(offset, 0)).limit(limit if limit > 0 else 100).select("id")
 
 
+def limited(frame: DataFrame, table: TableDef) -> DataFrame:
+    """The rows of a table, where fields with a topk_limit keep their largest values, and weight sets the heaviest ids of each key. No row goes."""
+    for f in table.fields:
+        if f.topk_limit <= 0 or f.kind not in (Kind.INT, Kind.FLOAT, Kind.WEIGHT_SET):
+            continue
+        c = F.col(f"`{f.name}`")
+        own = F.col("id").alias("_id")
+        if f.kind is Kind.WEIGHT_SET:
+            entries = capped_by_key(frame.select(own, F.explode(c).alias("_key", "_weight")), "_key", "_weight", "_id", f.topk_limit)
+            kept = entries.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("_key", "_weight"))).alias("_kept"))
+            value = F.when(c.isNotNull(), F.coalesce("_kept", F.create_map().cast(f.spark_type)))
+        else:
+            kept = capped(frame.select(own, c.alias("_kept")), "_kept", "_id", f.topk_limit)
+            value = F.col("_kept")
+        frame = frame.join(kept, F.col("id") == F.col("_id"), "left").withColumn(f.name, value).drop("_id", "_kept")
+    return frame
+
+
 class Database:
     """Tables by name. Frames have a unique column id, ord (the order of first sight) and the declared fields."""
 
@@ -71,7 +90,7 @@ class Database:
         self._filled.discard(table.name)
         c = frame[order or id_column]
         cols = [frame[f.name].cast(f.spark_type).alias(f.name) for f in table.fields]
-        self.frames[table.name] = frame.select(frame[id_column].alias("id"), c.alias("ord"), *cols)
+        self.frames[table.name] = limited(frame.select(frame[id_column].alias("id"), c.alias("ord"), *cols), table)
         return table
 
     def put(self, name: str, rows: DataFrame, body: str = "json", seq: str = "seq") -> DataFrame:
@@ -79,6 +98,7 @@ class Database:
 
         Absent members keep their values, but an absent bool becomes false. A row
         is taken or refused as a whole. With closed ids, ids that no table has are refused.
+        Fields with a topk_limit lose what is beyond it after every put.
         """
         table = self.tables[name]
         if table.id_field is None:
@@ -98,7 +118,7 @@ class Database:
         if others is not None:  # an id that another table saw first has its place from there
             earlier = others.withColumnRenamed("ord", "_ord")
             frame = frame.join(earlier, "id", "left").withColumn("ord", F.least("ord", "_ord")).drop("_ord")
-        self.frames[name] = frame
+        self.frames[name] = limited(frame, table)
         self._filled.add(name)
         return batch.filter("reason is not null").select((F.col("seq") - F.lit(base)).alias("seq"), "id", "reason")
 

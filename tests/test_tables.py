@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from tesserae.operators import dictionary, keyed, oplog, stats
 from tesserae.operators.database import Database
 from tesserae.sources import config, json_lines
-from tesserae.types import EngineError
+from tesserae.types import EngineError, FieldDef, Kind, TableDef
 
 
 def rows(spark, *objects):
@@ -198,3 +198,14 @@ def test_json_lines(spark, tmp_path):
     df = spark.createDataFrame([(b"abc", "!!")], "raw binary, bad string")
     got = df.select(json_lines.decoded(json_lines.encoded(F.col("raw"))).alias("x"), json_lines.decoded(F.col("bad")).alias("y")).first()
     assert bytes(got.x) == b"abc" and got.y is None
+
+
+def test_put_keeps_the_largest_values(spark):
+    db = Database(spark)
+    db.create(TableDef("t", "id", (FieldDef("n", Kind.INT, topk_limit=2), FieldDef("w", Kind.WEIGHT_SET, topk_limit=1), FieldDef("x", Kind.FLOAT))))
+    db.put("t", rows(spark, {"id": "a", "n": 1, "w": {"k": 1.0, "l": 5.0}, "x": 1.0}, {"id": "b", "n": 3, "w": {"k": 2.0}, "x": 2.0}, {"id": "c", "n": 3, "w": {"l": 1.0}}, {"id": "d", "x": 3.0}))
+    got = lambda: {r.id: (r.n, r.w, r.x) for r in db.frames["t"].collect()}
+    assert got() == {"a": (None, {"l": 5.0}, 1.0), "b": (3, {"k": 2.0}, 2.0), "c": (3, {}, None), "d": (None, None, 3.0)}
+    db.put("t", rows(spark, {"id": "d", "n": 4}, {"id": "a", "x": 9.0}))
+    assert got() == {"a": (None, {"l": 5.0}, 9.0), "b": (None, {"k": 2.0}, 2.0), "c": (3, {}, None), "d": (4, None, 3.0)}
+    assert {r.id for r in db.select("t.n>0").matched.collect()} == {"c", "d"}
