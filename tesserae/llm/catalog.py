@@ -109,10 +109,11 @@ def _secrets_sql() -> str:
     text = lambda col: f"list_aggregate(list_transform({col}, lambda x: {names}[x.k + 1] || ':' || x.s || ':' || x.e), 'string_agg', ',')"
     return f"""
     WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-    b AS (SELECT doc_id, t, (SELECT {spans(0, secrets.ASSIGN, 1, 8)}) AS a, (SELECT {spans(1, secrets.ACCESS, 0, 16)}) AS c, (SELECT {spans(2, secrets.HEX, 0, 32)}) AS h,
-        (SELECT {spans(3, secrets.CANDIDATE, 0, 0)}) AS e FROM d),
-    u AS (SELECT doc_id, len(a) AS na, len(c) AS nc, len(h) AS nh, list_sort(list_transform(list_concat(a, c, h), lambda x: {{'s': x.s, 'k': x.k, 'e': x.e}})) AS base, e FROM b),
-    v AS (SELECT doc_id, na, nc, nh, base, list_filter(e, lambda c: NOT regexp_matches(c.b, '{secrets.ALLOWED}') AND len(list_filter(base, lambda x: x.s < c.e AND c.s < x.e)) = 0) AS e FROM u),
+    b AS (SELECT doc_id, t, (SELECT {spans(0, secrets.ASSIGN, 1, 8)}) AS a, (SELECT {spans(1, secrets.ACCESS, 0, 16)}) AS c, (SELECT {spans(2, secrets.HEX, 0, 32)}) AS h FROM d),
+    u AS (SELECT doc_id, t, len(a) AS na, len(c) AS nc, len(h) AS nh, list_sort(list_transform(list_concat(a, c, h), lambda x: {{'s': x.s, 'k': x.k, 'e': x.e}})) AS base FROM b),
+    m AS (SELECT doc_id, na, nc, nh, base, list_reduce(list_concat([{{'t': t, 's': 0, 'e': 0}}], list_transform(base, lambda x: {{'t': '', 's': x.s, 'e': x.e}})),
+        lambda y, x: {{'t': substr(y.t, 1, x.s) || repeat(' ', x.e - x.s) || substr(y.t, x.e + 1), 's': 0, 'e': 0}}).t AS t FROM u),
+    v AS (SELECT doc_id, na, nc, nh, base, list_filter((SELECT {spans(3, secrets.CANDIDATE, 0, 0)}), lambda c: NOT regexp_matches(c.b, '{secrets.ALLOWED}')) AS e FROM m),
     x AS (SELECT doc_id, na, nc, nh, base, list_transform(e, lambda c: {{'s': c.s, 'hits': list_filter(range(0, length(c.b) - {w - 1}),
         lambda i: list_entropy(string_split(substr(c.b, CAST(i AS INT) + 1, {w}), '')) >= {bits})}}) AS e FROM v),
     y AS (SELECT doc_id, na, nc, nh, base, list_sort(list_concat(base, list_transform(list_filter(e, lambda c: len(c.hits) > 0),
