@@ -12,6 +12,7 @@ their place in it by their length and their rank among the pieces of that length
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -123,9 +124,10 @@ class ChunkTokenizer:
 
     A chunk is a run of white space with the run of other characters after it.
     The tokenizer's own pre-split never joins characters across the start of a
-    chunk, so a text's ids are its chunks' ids in order. The exception is white
-    space outside ASCII, where it could; texts with any are encoded whole.
-    Chunks are told apart by 64-bit hashes of their bytes.
+    chunk, so a text's ids are its chunks' ids in order. The exceptions are white
+    space outside ASCII, where it could, and the tokenizer's added tokens, which
+    stand for one id each; texts with any of them are encoded whole, as the
+    tokenizer is. Chunks are told apart by 64-bit hashes of their bytes.
     """
 
     ODD_SPACE = r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -137,9 +139,14 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        added = [t.content for t in self.model.get_added_tokens_decoder().values() if t.content]
+        self.odd = re.compile("|".join([self.ODD_SPACE, *map(re.escape, added)]))
+        self.added = [t.encode() for t in added]
         self._clear()
 
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, np.uint32)
+
     def _clear(self) -> None:
         self.keys = np.empty(0, np.uint64)
         self.start = np.empty(0, np.int64)
@@ -157,7 +164,9 @@ class ChunkTokenizer:
             while b < len(texts) and size < 100_000 and texts[b][0] in WHITE and texts[b - 1][-1] not in WHITE:
                 size += len(texts[b])
                 b += 1
+            self.model.encode_special_tokens = True  # no chunk may reach into another; texts with added tokens are encoded whole anyway
             e = self.model.encode("".join(texts[a:b]), add_special_tokens=False)
+            self.model.encode_special_tokens = False
             parts.append(np.array(e.ids, np.uint32))
             ends = np.cumsum(np.fromiter(map(len, texts[a:b]), np.int64, b - a))
             at = np.array([o[0] for o in e.offsets], np.int64)
@@ -210,19 +219,20 @@ def _tokenizer(path: str) -> ChunkTokenizer:
 
 
 def encode_column(column: pa.Array, path: str) -> Iterator[np.ndarray]:
-    """Token ids of every row of an Arrow string column, null as empty; documents of odd white space are encoded whole."""
-    import re
-
-    t, odd = _tokenizer(path), re.compile(ChunkTokenizer.ODD_SPACE)
+    """Token ids of every row of an Arrow string column, null as empty; documents of odd white space or added tokens are encoded whole."""
+    t = _tokenizer(path)
     for a, b, buf, off in slices(column):
         ids = t.encode(buf, off)
         # the first byte of each odd white space: 0x1c-0x1f, 0xc2, 0xe1, 0xe2 or 0xe3
         hint = np.isin(buf, np.array([0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3], np.uint8))
-        rows = np.unique(np.searchsorted(off, np.flatnonzero(hint), "right") - 1)
-        for i in rows.tolist():
-            text = buf[off[i] : off[i + 1]].tobytes().decode("utf-8")
-            if odd.search(text):
-                ids[i] = np.array(t.model.encode(text, add_special_tokens=False).ids, np.uint32)
+        rows = np.unique(np.searchsorted(off, np.flatnonzero(hint), "right") - 1).tolist()
+        raw = buf.tobytes()
+        if any(x in raw for x in t.added):
+            rows = range(b - a)
+        for i in rows:
+            text = raw[off[i] : off[i + 1]].decode("utf-8")
+            if t.odd.search(text):
+                ids[i] = t.whole(text)
         yield from ids
 
 

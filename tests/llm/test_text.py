@@ -221,7 +221,6 @@ def naive_bins(lengths, capacity):
 
 def check_packing(rows, texts, capacity=2048):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     ids = {i: t.encode(x or "", add_special_tokens=False).ids + [0] for i, x in texts.items()}
     by = {}
     for r in rows:
@@ -249,8 +248,9 @@ def test_packing(spark, sf, monkeypatch):
 
 
 def test_packing_of_odd_rows(spark):
-    texts = dict(ODD[:10]) | {20: "<|endoftext|> a", 21: "  x  \n\n y  ", 22: "\r\n\r\n  q", 23: "it's  don't\t\tok\n", 24: "tail \n", 25: "\n\nhead"}
+    texts = dict(ODD[:10]) | {20: "<|endoftext|> a", 21: "  x  \n\n y  ", 22: "\r\n\r\n  q", 23: "it's  don't\t\tok\n", 24: "tail \n", 25: "\n\nhead", 26: "a <|endoftext|> b", 27: "x<|endoftext|><|endoftext|>\n<|endoftext", 28: "end|> of it"}
     check_packing(packing.pack(docs(spark, list(texts.items())), tokenizer_path()).collect(), texts)
+    assert next(iter(packing.encode_column(pa.array(["a <|endoftext|> b"]), tokenizer_path()))).tolist() == [64, 220, 50256, 275]
     twice = packing.pack(docs(spark, [(1, "a b"), (1, "a b"), (None, None)]), tokenizer_path(), keep_ids=True).collect()
     assert len(twice) == 3 and {r.doc_id for r in twice} == {1, None} and all(len(r.ids) == r.length for r in twice) and len({(r.sequence_id, r.offset) for r in twice}) == 3
     assert packing.pack(docs(spark, []), tokenizer_path()).collect() == []
