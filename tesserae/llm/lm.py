@@ -5,13 +5,15 @@ the frequency bucket of the context v. The weights are learned by expectation-
 maximisation on deleted counts: each training token is held out in turn, that
 is, its own occurrence is taken off all counts that predict it.
 
-Counting never moves a row per token. A task deals its text into chunks and asks
-for the distinct words and bigrams of a chunk once: packed, sorted hashes go to
-the task that owns their hash range, which sums the training counts of all
-chunks and answers each chunk with the totals in the order asked. A hot word is
-one entry per chunk, so no key is skewed. A chunk's documents meet the answers
-in one task, which writes the counts that their tokens need; weights and scores
-are computed from those.
+Counting never moves a row per token. The text is dealt into chunks, which are
+written once: both passes read the same ones, however often a task is tried. A
+chunk asks for its distinct words and bigrams: packed, sorted hashes go to the
+owners of their hash ranges, which sum the training counts of all chunks and
+answer each chunk with the totals in the order asked. A hot word is one entry
+per chunk, so no key is skewed. There are as many owners as the number of
+entries needs at OWNER_ENTRIES each, so a task's memory does not grow with the
+input. A chunk's documents meet the answers in one task, which writes the counts
+that their tokens need; weights and scores are computed from those.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from .frames import table
 from .kernels import mix, slices, span_hashes, words
 
 CHUNK_BYTES = 12_000_000
+#: An owner sums about this many entries (16 bytes each) of all chunks.
+OWNER_ENTRIES = 2_000_000
 #: Documents per packed row of counts hold about this many tokens.
 ROW_TOKENS = 100_000
 BUCKETS = 24
@@ -87,9 +91,25 @@ def bigrams(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return mix(_contexts(tokens, lengths) * _M + tokens)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, np.ndarray, np.ndarray, np.ndarray]]:
-    """(chunk number, ids, whether in training, tokens by row, tokens) of about CHUNK_BYTES; numbers are the same whenever the partition is read."""
+_CHUNKS = "chunk long, entries long, ids array<long>, train binary, lengths binary, words binary, places binary"
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for about CHUNK_BYTES of text: a number of its own, its ids, which of them are in training, row lengths, distinct words, and tokens as places among those."""
     number = TaskContext.get().partitionId() << 32
+
+    def out(ids: list, parts: list[tuple]) -> pa.RecordBatch:
+        train, lengths, tokens = (np.concatenate(x) for x in zip(*parts))
+        keys, places = np.unique(tokens, return_inverse=True)
+        pairs = len(np.unique(bigrams(tokens, lengths)))
+        return pa.record_batch(
+            {
+                "chunk": pa.array([number], pa.int64()), "entries": pa.array([len(keys) + pairs], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64())),
+                "train": pa.array([np.packbits(train).tobytes()], pa.binary()), "lengths": pa.array([packed(lengths)], pa.binary()),
+                "words": pa.array([_sorted_packed(keys)], pa.binary()), "places": pa.array([packed(places)], pa.binary()),
+            }
+        )
+
     ids: list = []
     parts: list[tuple] = []
     size = 0
@@ -99,10 +119,17 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, np.n
             parts.append((batch.column("train").slice(a, b - a).to_numpy(zero_copy_only=False).astype(bool), *_tokens(buf, off)[::-1]))
             size += len(buf) + b - a
             if size >= CHUNK_BYTES:
-                yield number, ids, *(np.concatenate(x) for x in zip(*parts))
+                yield out(ids, parts)
                 number, ids, parts, size = number + 1, [], [], 0
     if parts:
-        yield number, ids, *(np.concatenate(x) for x in zip(*parts))
+        yield out(ids, parts)
+
+
+def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(whether in training, tokens by row, distinct words, places of the tokens among them) of a chunk's row."""
+    lengths = unpacked(row["lengths"]).astype(np.int64)
+    train = np.unpackbits(np.frombuffer(row["train"], np.uint8))[: len(lengths)].astype(bool)
+    return train, lengths, _sorted_unpacked(row["words"]), unpacked(row["places"]).astype(np.int64)
 
 
 def _counted(h: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,10 +142,11 @@ def _counted(h: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _requests(owners: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, _, train, lengths, tokens in _chunks(batches):
+        for row in (row for batch in batches for row in batch.to_pylist()):
+            chunk, (train, lengths, words, places) = row["chunk"], _read(row)
             in_train = np.repeat(train, lengths)
-            for kind, h in ((1, tokens), (2, bigrams(tokens, lengths))):
-                keys, counts = _counted(h, in_train)
+            once = np.bincount(places, in_train, minlength=len(words)).astype(np.uint64)
+            for kind, (keys, counts) in ((1, (words, once)), (2, _counted(bigrams(words[places], lengths), in_train))):
                 cut = np.searchsorted(_owner(keys, owners), np.arange(owners + 1))
                 live = [p for p in range(owners) if cut[p] < cut[p + 1]]
                 yield pa.record_batch(
@@ -170,22 +198,6 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(*held, rows)
 
 
-_DOCUMENTS = "chunk long, kind int, p int, counts binary, ids array<long>, train binary, lengths binary, words binary"
-
-
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per chunk: its ids, row lengths, distinct words, and tokens as places among those."""
-    for chunk, ids, train, lengths, tokens in _chunks(batches):
-        keys, places = np.unique(tokens, return_inverse=True)
-        yield pa.record_batch(
-            {
-                "chunk": pa.array([chunk], pa.int64()), "kind": pa.array([0], pa.int32()), "p": pa.array([-1], pa.int32()), "counts": pa.array([packed(places)], pa.binary()),
-                "ids": pa.array([ids], pa.list_(pa.int64())), "train": pa.array([np.packbits(train).tobytes()], pa.binary()),
-                "lengths": pa.array([packed(lengths)], pa.binary()), "words": pa.array([_sorted_packed(keys)], pa.binary()),
-            }
-        )
-
-
 _COUNTS = "ids array<long>, train binary, lengths binary, unigrams binary, bigrams binary"
 
 
@@ -193,14 +205,13 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a chunk, its documents before the answers -> the counts of each token and of its bigram."""
 
     def out(doc: dict, answers: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
-        keys, places, lengths = _sorted_unpacked(doc["words"]), unpacked(doc["counts"]).astype(np.int64), unpacked(doc["lengths"]).astype(np.int64)
+        train, lengths, keys, places = _read(doc)
         totals = {k: np.concatenate([unpacked(b) for b in answers[k]]) for k in (1, 2)}
         tokens = keys[places]
         pairs, where = np.unique(bigrams(tokens, lengths), return_inverse=True)
         if len(totals[1]) != len(keys) or len(totals[2]) != len(pairs):
             raise RuntimeError("a chunk and its answers differ")
         one, two = totals[1][places], totals[2][where]
-        train = np.unpackbits(np.frombuffer(doc["train"], np.uint8))[: len(lengths)]
         at = np.concatenate([[0], np.cumsum(lengths)])
         a = 0
         while a < len(lengths):
@@ -323,17 +334,19 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, doc_id: str = "doc
     An empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    owners = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     train = F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds != held_out, F.lit(True))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), train.alias("train"), F.col(text).alias("text"))
-    asked = rows.mapInArrow(_requests(owners), _REQUESTS).repartition(max(1, owners // 2), "p").sortWithinPartitions("p", "kind", "chunk")
+    chunks = table(rows.mapInArrow(_chunks, _CHUNKS), "chunks")
+    size = chunks.agg(F.sum("entries").alias("entries"), F.count("*").alias("chunks")).first()
+    owners = max(1, -(-(size["entries"] or 0) // OWNER_ENTRIES))
+    asked = chunks.mapInArrow(_requests(owners), _REQUESTS).repartition(owners, "p").sortWithinPartitions("p", "kind", "chunk")
     answers = table(asked.mapInArrow(_answer, _ANSWERS), "answers")
     totals = answers.filter("chunk = -1").agg(F.sum("types").alias("v"), F.sum("tokens").alias("n")).first()
     types, n_tokens = totals["v"] or 0, totals["n"] or 0
     starts = rows.filter("train").select("train").count()
-    empty = [F.lit(None).cast(k).alias(c) for c, k in (("ids", "array<bigint>"), ("train", "binary"), ("lengths", "binary"), ("words", "binary"))]
-    both = rows.mapInArrow(_documents, _DOCUMENTS).unionByName(answers.filter("chunk >= 0").select("chunk", "kind", "p", "counts", *empty))
-    met = both.repartition(max(1, owners // 2), "chunk").sortWithinPartitions("chunk", "kind", "p")
+    given = answers.filter("chunk >= 0").select("chunk", "kind", "p", "counts")
+    both = chunks.drop("entries").withColumns({"kind": F.lit(0), "p": F.lit(-1)}).unionByName(given, allowMissingColumns=True)
+    met = both.repartition(max(1, size["chunks"]), "chunk").sortWithinPartitions("chunk", "kind", "p")
     counts = table(met.mapInArrow(_meet, _COUNTS), "counts")
     cells = counts.mapInArrow(_deleted(n_tokens, starts), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS * BINS ** 2 rows
     weights = learn_weights(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(np.int64), types)

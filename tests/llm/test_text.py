@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tesserae.llm import components, html_text, kernels, lm, near_dup, packing, sketch
@@ -201,6 +202,89 @@ def test_packed_numbers():
         assert lm._sorted_unpacked(lm._sorted_packed(np.sort(a))).tolist() == np.sort(a).tolist()
 
 
+def test_language_model_reads_its_input_once(spark, sf, monkeypatch, tmp_path):
+    """The scan may be split otherwise, and give its rows in another order, whenever it is read: the chunks are those of the first pass."""
+    df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    df.repartition(7).write.parquet(str(tmp_path / "docs"))
+    want = {r.doc_id: (r.n_tokens, r.n_known, r.train_tokens, pytest.approx(r.base_score)) for r in lm.score(df).collect()}
+    splits = iter(["200000", "90000", "9000000"])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    plain = lm.table
+
+    def table(part, name):
+        out = plain(part, name)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", next(splits, "300000"))
+        return out
+
+    monkeypatch.setattr(lm, "table", table)
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 20_000)
+    monkeypatch.setattr(lm, "OWNER_ENTRIES", 20_000)
+    try:
+        again = spark.read.parquet(str(tmp_path / "docs")).orderBy(F.rand())
+        assert {r.doc_id: (r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in lm.score(again).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_owners_grow_with_the_input(spark, monkeypatch):
+    """However large the input, an owner sums a bounded number of entries."""
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 4000)
+    monkeypatch.setattr(lm, "OWNER_ENTRIES", 4000)
+    most, plain = [], lm._requests
+
+    def requests(owners):
+        most.append(owners)
+        return plain(owners)
+
+    monkeypatch.setattr(lm, "_requests", requests)
+    text = lambda i: " ".join(f"w{(i * 131 + j * j) % 997}" for j in range(100))
+    for n in (100, 400):
+        assert lm.score(docs(spark, [(i, text(i)) for i in range(n)], False)).count() == n
+    assert most[1] >= 3 * most[0] > 3
+
+
+def plain_weights(train, vocabulary, steps=200):
+    """Deleted interpolation token by token, without bins of probabilities."""
+    one = Counter(w for t in train for w in t[1:])
+    two = Counter(p for t in train for p in zip(t, t[1:]))
+    before = Counter(v for t in train for v in t[:-1])
+    n = sum(one.values())
+    seen = []
+    for t in train:
+        for v, w in zip(t, t[1:]):
+            c = before[v] - 1
+            seen.append((int(lm.bucket(np.array([c]))[0]), (two[v, w] - 1) / c if c else 0.0, (one[w] - 1) / (n - 1), 1 / (vocabulary + 1)))
+    weights = np.full((lm.BUCKETS, 3), 1 / 3)
+    for _ in range(steps):
+        got = np.zeros((lm.BUCKETS, 3))
+        for k, *p in seen:
+            share = weights[k] * p
+            got[k] += share / share.sum()
+        weights = got + np.array([0, 0.5, 0.5])
+        weights = weights / weights.sum(1, keepdims=True)
+    return weights, seen
+
+
+def test_learned_weights_are_those_of_plain_em(spark, monkeypatch):
+    held = []
+    plain = lm.learn_weights
+    monkeypatch.setattr(lm, "learn_weights", lambda *a: held.append(plain(*a)) or held[-1])
+    monkeypatch.setattr(lm, "EM_STEPS", 200)
+    rnd = random.Random(9)
+    words, rows = [f"w{j}" for j in range(40)], []
+    for i in range(150):
+        text = [rnd.choice(words)]
+        for _ in range(rnd.randrange(25)):
+            text.append(words[(words.index(text[-1]) * 3 + 1) % 40] if rnd.random() < 0.6 else rnd.choice(words))
+        rows.append((i, " ".join(text)))
+    lm.score(docs(spark, rows, False)).count()
+    train = [[None] + words_of(t) + ["</s>"] for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    want, seen = plain_weights(train, len({w for t in train for w in t[1:]}))
+    gain = lambda w: np.mean([np.log(max(w[k] @ p, 1e-12)) for k, *p in seen])
+    # expectation-maximisation maximises the likelihood of the deleted counts; bins of a quarter octave cost next to nothing of it
+    assert abs(gain(held[0]) - gain(want)) < 0.01 < gain(want) - gain(np.full((lm.BUCKETS, 3), 1 / 3))
+
+
 def test_language_model_of_nothing(spark):
     assert lm.score(docs(spark, [])).collect() == []
 
