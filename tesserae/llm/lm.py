@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import table
+from .frames import partition_keys, table
 from .kernels import mix, slices, span_hashes, words
 
 CHUNK_BYTES = 12_000_000
@@ -141,6 +141,8 @@ def _counted(h: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _requests(owners: int):
+    deal = partition_keys(owners)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (row for batch in batches for row in batch.to_pylist()):
             chunk, (train, lengths, words, places) = row["chunk"], _read(row)
@@ -151,7 +153,7 @@ def _requests(owners: int):
                 live = [p for p in range(owners) if cut[p] < cut[p + 1]]
                 yield pa.record_batch(
                     {
-                        "p": pa.array(live, pa.int32()), "chunk": pa.array([chunk] * len(live), pa.int64()), "kind": pa.array([kind] * len(live), pa.int32()),
+                        "deal": pa.array(deal[live], pa.int32()), "p": pa.array(live, pa.int32()), "chunk": pa.array([chunk] * len(live), pa.int64()), "kind": pa.array([kind] * len(live), pa.int32()),
                         "keys": pa.array([_sorted_packed(keys[cut[p] : cut[p + 1]]) for p in live], pa.binary()),
                         "counts": pa.array([packed(counts[cut[p] : cut[p + 1]]) for p in live], pa.binary()),
                     }
@@ -160,7 +162,7 @@ def _requests(owners: int):
     return run
 
 
-_REQUESTS = "p int, chunk long, kind int, keys binary, counts binary"
+_REQUESTS = "deal int, p int, chunk long, kind int, keys binary, counts binary"
 _ANSWERS = "chunk long, kind int, p int, counts binary, types long, tokens long"
 
 
@@ -339,7 +341,7 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, doc_id: str = "doc
     chunks = table(rows.mapInArrow(_chunks, _CHUNKS), "chunks")
     size = chunks.agg(F.sum("entries").alias("entries"), F.count("*").alias("chunks")).first()
     owners = max(1, -(-(size["entries"] or 0) // OWNER_ENTRIES))
-    asked = chunks.mapInArrow(_requests(owners), _REQUESTS).repartition(owners, "p").sortWithinPartitions("p", "kind", "chunk")
+    asked = chunks.mapInArrow(_requests(owners), _REQUESTS).repartition(owners, "deal").sortWithinPartitions("p", "kind", "chunk")
     answers = table(asked.mapInArrow(_answer, _ANSWERS), "answers")
     totals = answers.filter("chunk = -1").agg(F.sum("types").alias("v"), F.sum("tokens").alias("n")).first()
     types, n_tokens = totals["v"] or 0, totals["n"] or 0

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tesserae.llm import components, html_text, kernels, lm, near_dup, packing, sketch
+from tesserae.llm import components, frames, html_text, kernels, lm, near_dup, packing, sketch
 from tesserae.llm.catalog import ORACLES, QUERIES, tokenizer_path
 
 from ..oracle import connection, same
@@ -285,6 +285,13 @@ def test_learned_weights_are_those_of_plain_em(spark, monkeypatch):
     assert abs(gain(held[0]) - gain(want)) < 0.01 < gain(want) - gain(np.full((lm.BUCKETS, 3), 1 / 3))
 
 
+@pytest.mark.parametrize("n", [1, 2, 13, 200])
+def test_partition_keys(spark, n):
+    keys = frames.partition_keys(n)
+    df = spark.createDataFrame([(int(k),) for k in keys], "k int").repartition(n, "k").select("k", F.spark_partition_id().alias("p"))
+    assert sorted(map(tuple, df.collect()), key=lambda r: r[1]) == [(int(k), p) for p, k in enumerate(keys)]
+
+
 def test_language_model_of_nothing(spark):
     assert lm.score(docs(spark, [])).collect() == []
 
