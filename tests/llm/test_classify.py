@@ -100,11 +100,11 @@ def test_quality_of_odd_rows(spark):
 # -- top-k search
 
 
-@pytest.mark.parametrize("blocks", [(512, 4096), (2, 3)])
-@pytest.mark.parametrize("scale", [64.0, 1e6])
+@pytest.mark.parametrize("blocks", [(512, 4096, 32_000_000), (2, 3, 100)])
+@pytest.mark.parametrize("scale", [64.0, 1e6, 1e9])
 def test_top_k(spark, monkeypatch, blocks, scale):
-    monkeypatch.setattr(topk, "QUERY_BLOCK", blocks[0])
-    monkeypatch.setattr(topk, "ROW_BLOCK", blocks[1])
+    for name, value in zip(("QUERY_BLOCK", "ROW_BLOCK", "QUERY_BYTES"), blocks):
+        monkeypatch.setattr(topk, name, value)
     rnd = random.Random(4)
     vs = [[rnd.choice([-1.0, 0.0, 0.25, 0.5, 1.0]) for _ in range(6)] for _ in range(40)] + [[rnd.gauss(0, 1) for _ in range(6)] for _ in range(40)]
     vs[3], vs[4], vs[5], vs[6], vs[7] = None, [1.0, None], [float("nan")] * 6, [float("inf")] + [0.0] * 5, [2.0, 1.0]
@@ -126,6 +126,35 @@ def test_top_k_of_few(spark):
     assert topk.search(df.limit(0), df, 3).collect() == [] and topk.search(df, df.limit(0), 3).collect() == []
 
 
+def test_top_k_of_large_components(spark):
+    """No finite component is refused; scores beyond 64 bits rank exactly and are shown as the nearest long."""
+    vs = [[2e6, 1.0], [-2e6, 3.0], [2e6, 2.0], [1e300, 1.0], [1e300, 2.0], [-1e300, 0.5], [5e9, 5e9], [-1.0, 1e-30]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vs)], "id long, x array<double>").withColumn("v", topk.quantised(F.col("x")))
+    ints = [[int(y * 64) if y * 64 == int(y * 64) else int(np.floor(y * 64)) for y in v] for v in vs]
+    want = []
+    for q in range(len(vs)):
+        ranked = sorted((-sum(x * y for x, y in zip(ints[q], ints[c])), c) for c in range(len(vs)) if c != q)[:5]
+        want += [(q, k, c, max(-(1 << 63), min((1 << 63) - 1, -s))) for k, (s, c) in enumerate(ranked, 1)]
+    assert sorted(map(tuple, topk.search(df, df, 5).collect())) == want
+
+
+def test_the_threshold_ends_lists_early(monkeypatch):
+    """Phase two scores far fewer entries than there are, and phase one a share of them."""
+    rng = np.random.default_rng(3)
+    c = np.floor(rng.normal(size=(4000, 32)) * np.exp(rng.normal(size=(4000, 1))) * 64)
+    batch = pa.record_batch({"id": pa.array(np.arange(4000)), "v": pa.array(c.tolist())})
+    shared = type("Shared", (), {"value": (np.arange(0, 4000, 200), c[::200])})
+    resolved, plain = [], topk._Block.resolve
+    monkeypatch.setattr(topk._Block, "resolve", lambda self, q, a, b: resolved.append(len(a)) or plain(self, q, a, b))
+    low = next(topk._bounds(shared, 20)([batch]))
+    cuts = type("Shared", (), {"value": (np.array([s[-1] for s in low.column("scores").to_pylist()]), np.ones(20, bool))})
+    got = next(topk._entries(shared, cuts, 20)([batch]))
+    assert got.num_rows == 400 and sum(resolved) < 0.1 * 20 * 4000
+    for q in range(0, 4000, 200):
+        best = sorted(((-int(c[q] @ c[j]), j) for j in range(4000) if j != q))[:20]
+        assert sorted(v for i, v in zip(got.column("query_id").to_pylist(), got.column("vec_id").to_pylist()) if i == q) == sorted(j for _, j in best)
+
+
 # -- secrets
 
 
