@@ -10,8 +10,8 @@ A page's text is what the page's own main container holds, without menus, footer
 adverts and the like by their names. An article or main element is kept whole;
 in a container found without one, the wrapper's literals are template.
 
-Trees are grouped by shape before they are aligned, and aligned within salts of
-a host before those meet, so a host with a third of all pages is no single task.
+Trees are grouped by shape before they are aligned, and a host's wrappers meet in
+rounds of about FAN_IN to a group, so a host with a third of all pages is no single task.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import html
 import json
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,10 +51,12 @@ CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure fo
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Texts in these are blocks of a text even if they are links as a whole.
 PROSE = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre".split())
+#: Blocks of elements below this level hang from their ancestor at it; whether they are dropped or in an article is kept.
 MAX_DEPTH = 60
 #: A text is a literal of the wrapper if at least so many different pages have it and none has another in its place.
 LITERAL_PAGES = 3
-SALTS = 16
+#: Wrappers of one host that are merged in one group of a round, about.
+FAN_IN = 64
 #: Wrappers of this many bytes in all, or fewer, are broadcast; beyond, they are joined.
 BROADCAST_BYTES = 16_000_000
 
@@ -95,16 +98,19 @@ def _label(tag: str, attrs: str) -> tuple[str, bool, bool]:
 
 
 def parse(page: str) -> list:
-    """The tree of a page. Unclosed elements end where HTML lets them; unmatched ends are ignored; deeper levels than MAX_DEPTH are folded into their parent.
+    """The tree of a page. Unclosed elements end where HTML lets them; unmatched ends are ignored.
 
     A word never drops an article or main element or what holds one, but it does drop parts of an article. Articles that a
-    word names (comments, say) save what holds them only on pages without any other.
+    word names (comments, say) save what holds them only on pages without any other. Each text below MAX_DEPTH levels
+    is a block of its own under the ancestor at that level: dropped if any element around it is, and an article's if it is in one.
     """
     root: list = ["", False, [], []]
-    stack, tags, run, folded = [root], [""], [], []
+    stack, tags, by_word, run = [root], [""], [False], []
+    count: dict[str, int] = {"": 1}
     known: dict[tuple[str, str], tuple[str, bool, bool]] = {}
-    by_word: list[bool] = [False]
     saved: dict[bool, list[list]] = {}
+    deep: list[tuple[list, list]] = []  # (element, its parent) of those below MAX_DEPTH, parents first
+    blocks: list[tuple[list, list]] = []  # (block of the tree, the deep element it is in)
     linked = plain = False
 
     def take(text: str) -> None:
@@ -120,11 +126,24 @@ def parse(page: str) -> list:
         if text and not text.isspace():
             text = " ".join(html.unescape(text).split())
             if text:
-                stack[-1][2].append(["#", False, [], [(text, prose)]])
+                slot = ["#", False, [], [(text, prose)]]
+                if len(stack) > MAX_DEPTH:
+                    block = ["~", False, [slot], []]
+                    blocks.append((block, stack[-1]))
+                    stack[MAX_DEPTH - 1][2].append(block)
+                else:
+                    stack[-1][2].append(slot)
 
-    def close(to: int) -> None:
+    def close(tag: str) -> None:
+        """Ends the innermost element of this name and what is in it."""
         flush()
-        del stack[to:], tags[to:], by_word[to:]
+        while True:
+            last = tags.pop()
+            stack.pop()
+            by_word.pop()
+            count[last] -= 1
+            if last == tag:
+                return
 
     at, raw_until = 0, -1
     for m in _TOKEN.finditer(page):
@@ -142,11 +161,8 @@ def parse(page: str) -> list:
                     flush()
                 elif tag == "a":
                     linked = False
-            elif folded and tag in folded:
-                flush()
-                del folded[len(folded) - 1 - folded[::-1].index(tag) :]
-            elif tag in tags:
-                close(len(tags) - 1 - tags[::-1].index(tag))
+            elif count.get(tag):
+                close(tag)
             elif tag == "p":
                 flush()
             continue
@@ -168,11 +184,11 @@ def parse(page: str) -> list:
                 linked = _HREF.search(m[3]) is not None
             continue
         flush()
-        if tag in CLOSES_P and "p" in tags:
-            close(len(tags) - 1 - tags[::-1].index("p"))
+        if tag in CLOSES_P and count.get("p"):
+            close("p")
         for other in SIBLINGS.get(tag, ()):
             if tags[-1] == other:
-                close(len(tags) - 1)
+                close(other)
         if tag in VOID:
             continue
         key = (tag, m[3])
@@ -180,25 +196,34 @@ def parse(page: str) -> list:
             known[key] = _label(*key)
         label, dropped, named = known[key]
         if tag == "header":
-            dropped = dropped or not any(t in MAIN for t in tags)
+            dropped = dropped or not any(count.get(t) for t in MAIN)
         is_main = label.split(".")[0] in MAIN
         if is_main and not dropped:
-            inner = len(tags) - tags[::-1].index("article") if "article" in tags else 0
+            inner = len(tags)
+            while inner and True in by_word and tags[inner - 1] != "article":
+                inner -= 1
             saved.setdefault(named, []).extend(n for n, w in zip(stack[inner:], by_word[inner:]) if w)
+        by_word.append(named and not dropped and not is_main)
+        node = [label, dropped or by_word[-1], [], []]
         if len(stack) < MAX_DEPTH:
-            by_word.append(named and not dropped and not is_main)
-            dropped = dropped or by_word[-1]
-            node = [label, dropped, [], []]
             stack[-1][2].append(node)
-            stack.append(node)
-            tags.append(tag)
         else:
-            folded.append(tag)
+            deep.append((node, stack[-1]))
+        stack.append(node)
+        tags.append(tag)
+        count[tag] = count.get(tag, 0) + 1
     if raw_until < len(page):
         take(page[at:])
-    close(len(stack))
+    flush()
     for n in saved.get(False, saved.get(True, [])):
         n[1] = False
+    state: dict[int, tuple[bool, bool]] = {}  # of deep elements: dropped, in an article
+    for node, parent in deep:
+        dropped, article = state.get(id(parent), (False, False))
+        state[id(node)] = dropped or node[1], article or not dropped and not node[1] and node[0].split(".")[0] in MAIN
+    for block, element in blocks:
+        block[1], article = state[id(element)]
+        block[0] = "article" if article else "~"
     return root
 
 
@@ -225,7 +250,7 @@ def group(node: list) -> list:
                 for k in range(size):
                     old, new = done[-2 * size + k], done[-size + k]
                     for a, b in zip(_slots(old), _slots(new)):
-                        a[3] = a[3] + b[3]
+                        a[3] += b[3]
                     old[5] = True
                 del done[-size:]
                 break
@@ -247,28 +272,38 @@ def first_wrapper(node: list, page: int) -> dict:
 
 
 def _aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Pairs of a longest common subsequence; common ends are matched first."""
+    """Pairs of equal labels in the order of both lists, in time n log n: common ends first; between them the k-th of a label meets the k-th, as many as go in order."""
     lo = 0
     while lo < len(a) and lo < len(b) and a[lo] == b[lo]:
         lo += 1
     hi = 0
     while hi < len(a) - lo and hi < len(b) - lo and a[-1 - hi] == b[-1 - hi]:
         hi += 1
-    x, y = a[lo : len(a) - hi], b[lo : len(b) - hi]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
-    pairs, i, j = [(k, k) for k in range(lo)], 0, 0
-    while i < len(x) and j < len(y):
-        if x[i] == y[j]:
-            pairs.append((lo + i, lo + j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return pairs + [(len(a) - hi + k, len(b) - hi + k) for k in range(hi)]
+    places: dict[str, list[int]] = {}
+    for j in range(lo, len(b) - hi):
+        places.setdefault(b[j], []).append(j)
+    taken: dict[str, int] = {}
+    tops: list[int] = []  # least end of an increasing run of each length, with the pair it ends with
+    ends: list[tuple[int, int, int]] = []  # (i, j, index of the pair before)
+    last: list[int] = []
+    for i in range(lo, len(a) - hi):
+        k = taken.get(a[i], 0)
+        taken[a[i]] = k + 1
+        js = places.get(a[i], ())
+        if k < len(js):
+            at = bisect_left(tops, js[k])
+            ends.append((i, js[k], last[at - 1] if at else -1))
+            if at == len(tops):
+                tops.append(js[k])
+                last.append(len(ends) - 1)
+            else:
+                tops[at], last[at] = js[k], len(ends) - 1
+    middle: list[tuple[int, int]] = []
+    at = last[-1] if last else -1
+    while at >= 0:
+        i, j, at = ends[at]
+        middle.append((i, j))
+    return [(k, k) for k in range(lo)] + middle[::-1] + [(len(a) - hi + k, len(b) - hi + k) for k in range(hi)]
 
 
 def merge(a: dict, b: dict) -> dict:
@@ -312,13 +347,15 @@ def apply(wrapper: dict, node: list) -> list[dict | None]:
     if node[0] == "#":
         return [wrapper]
     match = dict((y, x) for x, y in _aligned([c["l"] for c in wrapper["c"]], [c[0] for c in node[2]]))
+    first: dict[str, dict] = {}
+    for w in wrapper["c"]:
+        first.setdefault(w["l"], w)
     out: list[dict | None] = []
     for y, c in enumerate(node[2]):
         if y in match:
             out += apply(wrapper["c"][match[y]], c)
         else:  # a repeated group of the wrapper takes further neighbours of its label
-            same = [w for w in wrapper["c"] if w["l"] == c[0]]
-            out += apply(same[0], c) if same else [None] * len(_slots(c))
+            out += apply(first[c[0]], c) if c[0] in first else [None] * len(_slots(c))
     return out
 
 
@@ -395,46 +432,46 @@ def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 w = first_wrapper(node, zlib.crc32(page.encode("utf-8", "surrogatepass")))
                 key = (host, node[4])
                 held[key] = merge(held[key], w) if key in held else w
-        yield _wrapper_rows((h, zlib.crc32(s.encode()) % SALTS, s, w) for (h, s), w in held.items())
+        yield _wrapper_rows((h, s, w) for (h, s), w in held.items())
 
 
 def _wrapper_rows(rows) -> pa.RecordBatch:
-    rows = list(rows)
-    cols = list(zip(*rows)) or [(), (), (), ()]
-    return pa.record_batch({"host": pa.array(cols[0], pa.string()), "salt": pa.array(cols[1], pa.int32()), "shape": pa.array(cols[2], pa.string()), "w": pa.array([json.dumps(w) for w in cols[3]], pa.string())})
-
-
-def _folded(keys: tuple[str, ...]):
-    """Merges runs of rows with equal keys, in the order of their shapes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None
-        row: tuple | None = None
-        for batch in batches:
-            for host, salt, s, w in zip(*(batch.column(c).to_pylist() for c in ("host", "salt", "shape", "w"))):
-                key, w = ((host, salt, s)[: len(keys)]), json.loads(w)
-                if key == held:
-                    row = (host, salt, row[2], merge(row[3], w))
-                else:
-                    if row:
-                        yield _wrapper_rows([row])
-                    held, row = key, (host, salt, s, w)
-        if row:
-            yield _wrapper_rows([row])
+    cols = list(zip(*rows)) or [(), (), ()]
+    return pa.record_batch({"host": pa.array(cols[0], pa.string()), "shape": pa.array(cols[1], pa.string()), "w": pa.array([json.dumps(w) for w in cols[2]], pa.string())})
+
 
-    return run
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Merges runs of rows with equal host and group, in the order of their shapes; the first shape names the result."""
+    held: tuple | None = None
+    row: tuple | None = None
+    for batch in batches:
+        for host, part, s, w in zip(*(batch.column(c).to_pylist() for c in ("host", "part", "shape", "w"))):
+            key, w = (host, part), json.loads(w)
+            if key == held:
+                row = (host, row[1], merge(row[2], w))
+            else:
+                if row:
+                    yield _wrapper_rows([row])
+                held, row = key, (host, s, w)
+    if row:
+        yield _wrapper_rows([row])
 
 
-_WRAPPERS = "host string, salt int, shape string, w string"
+_WRAPPERS = "host string, shape string, w string"
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, w): each host's wrapper, from columns host and html of all pages."""
-    shapes = pages.select("host", "html").mapInArrow(_shapes, _WRAPPERS)
-    for keys in (("host", "salt", "shape"), ("host", "salt"), ("host",)):
-        dealt = shapes.repartition(*keys).sortWithinPartitions(*dict.fromkeys((*keys, "salt", "shape", "w")))
-        shapes = dealt.mapInArrow(_folded(keys), _WRAPPERS)
-    return shapes.select("host", "w")
+    """(host, w): each host's wrapper, from columns host and html of all pages. Each round merges a host's wrappers in groups of about FAN_IN."""
+    rows = pages.select("host", "html").mapInArrow(_shapes, _WRAPPERS).withColumn("part", F.xxhash64("shape"))
+    while True:
+        # equal shapes first, then groups by a hash of the shape
+        dealt = rows.repartition("host", "part").sortWithinPartitions("host", "part", "shape", "w")
+        rows = table(dealt.mapInArrow(_folded, _WRAPPERS), "wrappers")
+        most = rows.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+        if most <= 1:
+            return rows.select("host", "w")
+        groups = -(-most // FAN_IN) if most > FAN_IN else 1
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("shape", F.lit(groups)), F.lit(groups)))
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -464,7 +501,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
     Other columns are not read.
     """
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), F.col(page).alias("html"))
-    wrappers = table(infer_wrappers(rows), "wrappers")
+    wrappers = infer_wrappers(rows)
     size = wrappers.agg(F.sum(F.octet_length("w"))).first()[0] or 0
     joined = rows.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "host", "left")
     kinds = f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string"

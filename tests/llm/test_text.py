@@ -4,6 +4,7 @@ import html
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -448,6 +449,45 @@ def test_words_that_name_an_element(page):
     assert one_page(page) == "a\n\nb"
 
 
+def test_elements_at_any_depth():
+    down, up = "<div>" * 70, "</div>" * 70
+    assert one_page(f"<div><p>Head</p>{down}<nav>menu</nav><p>text</p><aside><div><p>note</p></div></aside><form>form</form><div class='comments'><p>c</p></div>{up}<p>tail</p></div>") == "Head\n\ntext\n\ntail"
+    assert one_page(f"<p>beside</p>{down}<div class='sidebar'><article><h1>Head</h1><nav>menu</nav><p>text</p></article></div><p>other</p>{up}") == "Head\n\ntext"
+    assert one_page(f"<article><p>a</p>{down}<header>h</header><div class='comments'><article class='comment'>c</article></div>{up}<p>b</p></article>") == "a\n\nh\n\nb"
+    deep = one_page("<div>" * 50_000 + "deep" + "</div>" * 50_000 + "<p>after</p>")
+    assert deep == "deep\n\nafter"
+
+
+def test_thousands_of_siblings(spark):
+    """Alignment does not grow with the square of an element's children."""
+    rnd = random.Random(4)
+    kinds = ["p", "h2", "h3", "pre", "blockquote", "section"]
+    pages = ["<div>" + "".join(f"<{(t := rnd.choice(kinds))}>{k} {j}</{t}>" for j in range(20_000)) + "</div>" for k in range(2)]
+    began = time.monotonic()
+    got = texts(spark, pages)
+    assert time.monotonic() - began < 60 and [len(t.split("\n\n")) for t in got] == [20_000, 20_000]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_alignment(seed):
+    rnd = random.Random(seed)
+    a, b = ([rnd.choice("abcd") for _ in range(rnd.randrange(30))] for _ in range(2))
+    pairs = html_text._aligned(a, b)
+    assert all(a[i] == b[j] for i, j in pairs) and all(i < k and j < m for (i, j), (k, m) in zip(pairs, pairs[1:]))
+    assert html_text._aligned(a, a) == [(i, i) for i in range(len(a))]
+    cut = sorted(rnd.sample(range(len(a)), len(a) // 2))
+    assert len(html_text._aligned(list(range(len(a))), cut)) == len(cut)
+
+
+@pytest.mark.parametrize("fan_in", [2, 64])
+def test_a_host_of_many_shapes(spark, monkeypatch, fan_in):
+    """Wrappers of one host meet in rounds; the probed blocks of an article stay."""
+    monkeypatch.setattr(html_text, "FAN_IN", fan_in)
+    article = "<h2>Summary</h2><p>{0}</p><p class='share-price'>Price</p><section class='related-work'>Work</section><div class='search-engines'>Engines</div><p>Licence.</p>"
+    pages = [f"<ul class=menu>{'<li>x' * (k % 9)}</ul>" + "<div><b></b></div><p></p>" * (k % 13) + f"<article>{article.format(k)}</article>" for k in range(60)]
+    assert texts(spark, pages) == [f"Summary\n\n{k}\n\nPrice\n\nWork\n\nEngines\n\nLicence." for k in range(60)]
+
+
 def texts(spark, pages, url="http://d.example/"):
     df = spark.createDataFrame([(k, url, p) for k, p in enumerate(pages)], "page_id long, url string, html string")
     return [r.text for r in html_text.extract(df).orderBy("page_id").collect()]
