@@ -125,11 +125,13 @@ def _secrets_sql() -> str:
 def _urls_sql() -> str:
     host = r"translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     path = r"coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
-    case = lambda rules, what: " ".join(f"WHEN regexp_matches(host || path, '{r.pattern}') THEN '{getattr(r, what)}'" for r in rules)
+    query = r"translate(coalesce(regexp_extract(url, '(?s)^.*?://[^?#]*([?][^#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    case = lambda rules, what: " ".join(f"WHEN regexp_matches(host || path || query, '{r.pattern}') THEN '{getattr(r, what)}'" for r in rules)
     fixed = sorted(url_filter.FIXED_RULES, key=lambda r: (-len(r.name), r.name))
+    method = sorted(url_filter.METHOD_RULES, key=lambda r: r.layer)
     return f"""
-    WITH p AS (SELECT page_id, {host} AS host, {path} AS path FROM pages)
-    SELECT page_id, host, path, CASE {case(fixed, "name")} END AS rule, CASE {case(fixed, "verdict")} {case(url_filter.METHOD_RULES, "verdict")} ELSE 'allow' END AS verdict FROM p
+    WITH p AS (SELECT page_id, {host} AS host, {path} AS path, {query} AS query FROM pages)
+    SELECT page_id, host, path, CASE {case(fixed, "name")} END AS rule, CASE {case(fixed, "verdict")} {case(method, "verdict")} ELSE 'allow' END AS verdict FROM p
     """
 
 

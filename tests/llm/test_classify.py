@@ -322,20 +322,46 @@ URLS = [
 ]
 
 
-def test_urls(spark):
-    df = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string").selectExpr("*", "'h' as host", "1 as verdict")
-    for r in url_filter.filter_urls(df).collect():
-        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", r.url or "")
-        host, path = (re.sub("[A-Z]", lambda x: x[0].lower(), m[1]), m[2]) if m else ("", "")
-        rule = plain_rule(host, path)
-        blocked = any(re.search(x.pattern, host + path) for x in url_filter.METHOD_RULES)
-        assert (r.host, r.path) == (host, path)
-        assert (r.rule, r.verdict) == (rule if rule else (None, "block" if blocked else "allow")), r.url
-    assert url_filter.filter_urls(df.limit(0)).collect() == []
+URLS += [
+    "x://adult-education.org.uk/x", "x://adult.example.com/", "x://a.com/affiliate/x", "x://a.com/xaffiliate/x", "x://a.com/x?q=1&AFFID=2", "x://a.com/x?paffid=2", "x://best-pills24.com/", "http://10.0.0.1:8080/x", "x://casino.com/about/responsible-gambling",
+]
+
+
+def plain_verdict(url, rules):
+    m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)(\?[^#]*)?", url or "")
+    lower = lambda t: re.sub("[A-Z]", lambda x: x[0].lower(), t)
+    host, path, key = (lower(m[1]), m[2], lower(m[1]) + m[2] + lower(m[3] or "")) if m else ("", "", "")
+    hits = [r for r in rules if re.search(r.pattern, key)]
+    verdict = "allow" if any(r.layer == 1 for r in hits) else "block" if any(r.layer == 2 for r in hits) else "allow"
+    return host, path, *(plain_rule(host, path) or (None, verdict))
+
+
+@pytest.mark.parametrize("size", [1_000_000, 0])
+def test_urls(spark, monkeypatch, size):
+    """As a map in the plan and as a table, the rules give what trying each of them gives."""
+    monkeypatch.setattr(url_filter, "INDEX_BYTES", size)
+    df = spark.createDataFrame(list(enumerate(URLS)) + [(3, URLS[3])], "page_id long, url string").selectExpr("*", "'h' as host", "1 as verdict", "2 as _first", "3 as name", "4 as token")
+    got = url_filter.filter_urls(df)
+    assert len(got.collect()) == len(URLS) + 1 and not re.search("Python|Arrow", got._jdf.queryExecution().executedPlan().toString())
+    for r in got.collect():
+        assert (r.host, r.path, r.rule, r.verdict) == plain_verdict(r.url, url_filter.METHOD_RULES), r.url
+    assert {r.url: r.verdict for r in got.collect()}["x://www.casino-win.example.com/en/1"] == "block" and url_filter.filter_urls(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("size", [10_000_000, 0])
+def test_many_rules_and_rules_without_tokens(spark, monkeypatch, size):
+    monkeypatch.setattr(url_filter, "INDEX_BYTES", size)
+    rules = [(f"r{k}", f"^host{k}[.]", [f"host{k}"], "block", 2) for k in range(300 if size else 30_000)]
+    rules += [("any", "q{3}", None, "block", 2), ("none", "z{3}", [], "block", None), ("bad", None, ["x"], "block", 2), ("odd", "w{3}", [None, ""], "allow", 1)]
+    frame = spark.createDataFrame(rules, url_filter.RULES_SCHEMA)
+    urls = ["x://host7.com/", "x://host77777.com/", "x://a.com/qqq", "x://a.com/zzz", "x://host1.com/www", "x://x.com/"]
+    got = {r.url: r.verdict for r in url_filter.filter_urls(spark.createDataFrame([(u,) for u in urls], "url string"), rules=frame).collect()}
+    assert [got[u] for u in urls] == ["block", "allow", "block", "block", "allow", "allow"]
+    assert {r.verdict for r in url_filter.filter_urls(spark.createDataFrame([("x://a.b/",)], "url string"), rules=frame.limit(0)).collect()} == {"allow"}
 
 
 def test_rules_are_filed_under_their_rarest_token(spark):
     df = spark.createDataFrame([("x://common.rare.com/",), ("x://common.com/",)], "url string")
     key = F.concat(url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url")))
-    counts = url_filter.rarest_tokens(df, key, (url_filter.Rule("r", "common.*rare", ("common", "rare", "none"), "block"),))
-    assert counts == {"common": 2, "rare": 1, "none": 0}
+    rules = [url_filter.Rule("r", "common.*rare", ("common", "rare"), "block"), url_filter.Rule("n", "x", ("common", "none"), "block"), url_filter.Rule("e", "y", (), "block")]
+    assert {r.name: r.token for r in url_filter.filed(df, key, url_filter.rules_frame(df, rules)).collect()} == {"r": "rare", "n": "none", "e": url_filter.ANY}
