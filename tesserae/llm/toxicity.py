@@ -1,6 +1,9 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Training takes at most TRAIN_ROWS labelled rows (least hashes of doc_id). An
+Training takes at most TRAIN_ROWS labelled rows (least hashes of doc_id, one row
+to an id). Their n-grams are counted by label on the executors, in RANGES of the
+hash; the driver gets the best n-grams of each range and, for each row, which of
+the kept ones it has, never a text. An
 n-gram's feature is whether a text has it, times r = log(share of texts with it
 among those labelled 1 / share among those labelled 0), both smoothed; logistic
 regression learns one weight per feature. The FEATURES n-grams that tell the
@@ -12,14 +15,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .frames import table
 from .kernels import mix, slices
+from .lm import _sorted_packed, _sorted_unpacked, packed, unpacked
 
 ORDERS = (4, 5, 6, 7)
 TRAIN_ROWS = 6000
@@ -28,7 +32,12 @@ FEATURES = 2000
 RIDGE = 0.3
 MIN_ROWS = 3
 THRESHOLD = 0.7
-PARTS = 2
+#: Ranges of the hash in which n-grams are counted.
+RANGES = 32
+#: Tasks that the sample is dealt to.
+SAMPLE_TASKS = 32
+#: Counts that a task holds before it hands them on.
+_HELD = 2_000_000
 _BITS = 21
 _CHARS = 0x10000
 _LOWER = np.array([ord(c) if len(c := chr(i).lower()) == 1 else i for i in range(_CHARS)], np.uint32)
@@ -59,38 +68,92 @@ def _grams(codes: np.ndarray, orders: tuple[int, ...] = ORDERS) -> Iterator[tupl
             yield n, h * np.uint64(2 * n + 1)
 
 
-def _row_grams(column: pa.Array, n: int, part: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, its distinct n-gram hashes) of a whole column; part: only those of one of PARTS ranges of the hash."""
-    for a, _, buf, off in slices(column):
-        codes, at = _codes(buf, off)
-        h = mix(dict(_grams(codes, (n,))).get(n, np.empty(0, np.uint64)))
-        for i, (x, y) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
-            g = h[x : max(x, y - n + 1)]
-            g = np.sort(g if part is None else g[g >> np.uint64(63) == part])
-            yield a + i, g[np.concatenate([[True], g[1:] != g[:-1]])] if len(g) else g
-
-
-def _merged(counts: tuple[np.ndarray, np.ndarray], more: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Adds one to the count of each hash for each array that has it."""
-    every = np.sort(np.concatenate(more))
-    at = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.empty(0, np.int64)
-    keys = np.concatenate([counts[0], every[at]])
-    n = np.concatenate([counts[1], np.diff(np.append(at, len(every))).astype(np.int32)])
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and the sums of their rows of counts."""
     order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
+    keys, counts = keys[order], counts[order]
     at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-    return keys[at], np.add.reduceat(n, at) if len(at) else n
+    return keys[at], np.add.reduceat(counts, at, 0) if len(at) else counts
 
 
-def _row_counts(column: pa.Array, rows: np.ndarray, n: int, part: int) -> tuple[np.ndarray, np.ndarray]:
-    """In how many of the rows (a mask) each n-gram is."""
-    out, held, size = (np.empty(0, np.uint64), np.empty(0, np.int32)), [], 0
-    for i, g in _row_grams(column.filter(pa.array(rows)), n, part):
-        held.append(g)
-        size += len(g)
-        if size > 1_000_000:
-            out, held, size = _merged(out, held), [], 0
-    return _merged(out, held) if held else out
+def gram_counts(column: pa.Array, labels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(sorted n-gram hashes, how many rows of label 0 and of label 1 have each) of the orders of about _HELD n-grams at a time."""
+    for a, b, buf, off in slices(column):
+        codes, at = _codes(buf, off)
+        for n, h in _grams(codes):
+            h = mix(h)
+            held, ones, size = [], [], 0
+            for i, (x, y) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+                g = np.unique(h[x : max(x, y - n + 1)])
+                held.append(g)
+                ones.append(np.full(len(g), labels[a + i], np.int64))
+                size += len(g)
+                if size >= _HELD or i == b - a - 1:
+                    y1 = np.concatenate(ones)
+                    yield _summed(np.concatenate(held), np.stack([1 - y1, y1], 1))
+                    held, ones, size = [], [], 0
+
+
+def _best(keys: np.ndarray, counts: np.ndarray, zeros: int, ones: int) -> tuple[np.ndarray, np.ndarray]:
+    """The FEATURES n-grams that tell the labels apart best; ties to the lesser hash."""
+    keep = np.flatnonzero(counts.sum(1) >= MIN_ROWS)
+    keys, counts = keys[keep], counts[keep]
+    best = np.lexsort((keys, -_llr(counts[:, 1], counts[:, 0], ones, zeros)))[:FEATURES]
+    return keys[best], counts[best]
+
+
+def _range_of(keys: np.ndarray) -> np.ndarray:
+    return ((keys >> np.uint64(32)) * np.uint64(RANGES) >> np.uint64(32)).astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text, y) -> packed counts (p, keys, zeros, ones) by range of the hash."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def out() -> pa.RecordBatch:
+        keys, counts = _summed(*(np.concatenate(x) for x in zip(*held)))
+        cut = np.searchsorted(_range_of(keys), np.arange(RANGES + 1))
+        live = [p for p in range(RANGES) if cut[p] < cut[p + 1]]
+        part = lambda x: [packed(x[cut[p] : cut[p + 1]].astype(np.uint64)) for p in live]
+        return pa.record_batch(
+            {
+                "p": pa.array(live, pa.int32()), "keys": pa.array([_sorted_packed(keys[cut[p] : cut[p + 1]]) for p in live], pa.binary()),
+                "zeros": pa.array(part(counts[:, 0]), pa.binary()), "ones": pa.array(part(counts[:, 1]), pa.binary()),
+            }
+        )
+
+    for batch in batches:
+        for keys, counts in gram_counts(batch.column("text"), batch.column("y").to_numpy()):
+            held.append((keys, counts))
+            size += len(keys)
+            if size >= _HELD:
+                yield out()
+                held, size = [], 0
+    if held:
+        yield out()
+
+
+def _chosen(zeros: int, ones: int):
+    """Packed counts, sorted by range -> the best n-grams of each range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = -1, (np.empty(0, np.uint64), np.empty((0, 2), np.int64))
+
+        def out() -> pa.RecordBatch:
+            keys, counts = _best(*total, zeros, ones)
+            return pa.record_batch({"g": keys.view(np.int64), "q": counts[:, 0].copy(), "p": counts[:, 1].copy()})
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["p"] != at:
+                    yield out()
+                    at, total = row["p"], (total[0][:0], total[1][:0])
+                keys, counts = _sorted_unpacked(row["keys"]), np.stack([unpacked(row["zeros"]), unpacked(row["ones"])], 1).astype(np.int64)
+                total = _summed(np.concatenate([total[0], keys]), np.concatenate([total[1], counts]))
+        yield out()
+
+    return run
 
 
 @dataclass
@@ -105,25 +168,27 @@ class Model:
         self.flags = np.zeros(1 << _BITS, bool)
         self.flags[(self.grams >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
-    def scores(self, column: pa.Array) -> np.ndarray:
-        out = []
+    def hits(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first row, row after the last, row within them, slot) of each kept n-gram that a row has, slice by slice."""
         for a, b, buf, off in slices(column):
-            total = np.full(b - a, self.bias)
             codes, at = _codes(buf, off)
-            pairs = []
-            for n, h in _grams(codes):
+            pairs = [np.empty(0, np.int64)]
+            for n, h in _grams(codes) if len(self.grams) else ():
                 h = mix(h)
                 hit = np.flatnonzero(self.flags[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
-                slot = np.minimum(np.searchsorted(self.grams, h[hit]), max(len(self.grams) - 1, 0))
-                ok = self.grams[slot] == h[hit] if len(self.grams) else np.zeros(len(hit), bool)
+                slot = np.minimum(np.searchsorted(self.grams, h[hit]), len(self.grams) - 1)
+                ok = self.grams[slot] == h[hit]
                 hit, slot = hit[ok], slot[ok]
                 row = np.searchsorted(at, hit, "right") - 1
                 inside = hit + n <= at[row + 1]
-                pairs.append(row[inside] * max(1, len(self.grams)) + slot[inside])
-            if pairs and len(self.grams):
-                pair = np.unique(np.concatenate(pairs))
-                row, slot = pair // len(self.grams), pair % len(self.grams)
-                total += np.bincount(row, self.weights[slot], minlength=b - a)
+                pairs.append(row[inside] * len(self.grams) + slot[inside])
+            pair = np.unique(np.concatenate(pairs))
+            yield a, b, pair // max(1, len(self.grams)), pair % max(1, len(self.grams))
+
+    def scores(self, column: pa.Array) -> np.ndarray:
+        out = []
+        for a, b, row, slot in self.hits(column):
+            total = self.bias + np.bincount(row, self.weights[slot], minlength=b - a)
             out.append(1 / (1 + np.exp(-np.clip(total, -30, 30))))
         return np.concatenate(out) if out else np.empty(0)
 
@@ -138,36 +203,18 @@ def _llr(p: np.ndarray, q: np.ndarray, np_: int, nq: int) -> np.ndarray:
     return part(p, np_) + part(q, nq) - part(p + q, np_ + nq)
 
 
-def train(texts: pa.Array, labels: np.ndarray) -> Model:
-    """Fits the model. With one label only, every score is the smoothed share of label 1."""
-    y = np.asarray(labels, np.float64)
-    ones, zeros = int(y.sum()), int((1 - y).sum())
-    prior = np.log((ones + 0.5) / (zeros + 0.5)) if len(y) else -30.0
-    if not ones or not zeros:
-        return Model(np.empty(0, np.uint64), np.empty(0), float(prior))
-    found = []
-    for n, part in product(ORDERS, range(PARTS)):  # one order and range of hashes at a time bounds the driver's memory
-        (pg, pc), (qg, qc) = (_row_counts(texts, y == k, n, part) for k in (1, 0))
-        g = np.union1d(pg, qg)
-        p, q = np.zeros(len(g), np.int64), np.zeros(len(g), np.int64)
-        p[np.searchsorted(g, pg)], q[np.searchsorted(g, qg)] = pc, qc
-        keep = np.flatnonzero(p + q >= MIN_ROWS)
-        best = keep[np.lexsort((g[keep], -_llr(p[keep], q[keep], ones, zeros)))[:FEATURES]]
-        found.append((g[best], p[best], q[best]))
-    grams, p, q = (np.concatenate(x) for x in zip(*found))
-    best = np.lexsort((grams, -_llr(p, q, ones, zeros)))[:FEATURES]
-    best = best[np.argsort(grams[best])]
-    grams, p, q = grams[best], p[best], q[best]
-    r = np.log((p + 0.5) / (ones + 1)) - np.log((q + 0.5) / (zeros + 1))
-    rows, cols = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for n in ORDERS if len(grams) else ():
-        for i, g in _row_grams(texts, n):
-            slot = np.minimum(np.searchsorted(grams, g), len(grams) - 1)
-            slot = slot[grams[slot] == g]
-            rows.append(np.full(len(slot), i))
-            cols.append(slot)
-    row, col = np.concatenate(rows), np.concatenate(cols)
-    w, bias = np.full(len(grams), 0.01), prior
+def prior(zeros: int, ones: int) -> float:
+    return float(np.log((ones + 0.5) / (zeros + 0.5))) if zeros + ones else -30.0
+
+
+def ratios(counts: np.ndarray, zeros: int, ones: int) -> np.ndarray:
+    """Log-count ratios of n-grams from their (label 0, label 1) counts."""
+    return np.log((counts[:, 1] + 0.5) / (ones + 1)) - np.log((counts[:, 0] + 0.5) / (zeros + 1))
+
+
+def learn(grams: np.ndarray, r: np.ndarray, row: np.ndarray, col: np.ndarray, y: np.ndarray) -> Model:
+    """Logistic regression on the features (row, col), each scaled by its ratio."""
+    w, bias = np.full(len(grams), 0.01), prior(int((y == 0).sum()), int((y == 1).sum()))
     m = np.zeros(len(w) + 1)
     v = np.zeros(len(w) + 1)
     for t in range(1, 301):
@@ -181,17 +228,45 @@ def train(texts: pa.Array, labels: np.ndarray) -> Model:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, use: Column, bound: int, doc_id: str = "doc_id") -> DataFrame:
-    """(docs' row, label) of at most `bound` labelled ids that `use` allows: those of least hash. Ids of several labels count once, by the greatest."""
+    """(docs' row, label) of at most `bound` labelled ids that `use` allows, those of least hash: one row to an id, the least one if it has several.
+    Ids of several labels count once, by the greatest."""
     ids = labels.filter(use & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("_label"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return docs.join(F.broadcast(ids.withColumnRenamed("doc_id", doc_id)), doc_id)
+    others = [c for c in docs.columns if c != doc_id]
+    rows = docs.join(F.broadcast(ids.withColumnRenamed("doc_id", doc_id)), doc_id).groupBy(doc_id).agg(F.max("_label").alias("_label"), F.min(F.struct(*others)).alias("_row"))
+    return rows.select(doc_id, *[F.col(f"_row.{c}").alias(c) for c in others], "_label")
 
 
 def fit(docs: DataFrame, labels: DataFrame, use: Column, label: str = "toxic", text: str = "text", doc_id: str = "doc_id") -> Model:
-    """The model of the labelled sample; a label of 1 or more counts as 1."""
-    rows = labelled_sample(docs.select(doc_id, text), labels, label, use, TRAIN_ROWS, doc_id).select(F.col(text).alias("text"), F.col("_label").cast("long").alias("y"), doc_id)
-    got = rows.sort(doc_id, "text").toArrow()
-    return train(got.column("text").combine_chunks(), (got.column("y").to_numpy() > 0).astype(np.int64))
+    """The model of the labelled sample; a label of 1 or more counts as 1. With one label only, every score is the smoothed share of label 1."""
+    rows = labelled_sample(docs.select(doc_id, text), labels, label, use, TRAIN_ROWS, doc_id)
+    rows = rows.select(F.col(doc_id).alias("i"), F.col(text).alias("text"), (F.coalesce(F.col("_label"), F.lit(0)) > 0).cast("long").alias("y"))
+    sample = table(rows.repartition(SAMPLE_TASKS, "i"), "sample")
+    n = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+    zeros, ones = n.get(0, 0), n.get(1, 0)
+    if not zeros or not ones:
+        return Model(np.empty(0, np.uint64), np.empty(0), prior(zeros, ones))
+    counts = sample.select("text", "y").mapInArrow(_counted, "p int, keys binary, zeros binary, ones binary")
+    best = counts.repartition(RANGES, "p").sortWithinPartitions("p").mapInArrow(_chosen(zeros, ones), "g long, q long, p long").toArrow()  # at most RANGES * FEATURES rows
+    grams, by_label = best.column("g").to_numpy().view(np.uint64), np.stack([best.column("q").to_numpy(), best.column("p").to_numpy()], 1)
+    grams, by_label = _best(grams, by_label, zeros, ones)
+    order = np.argsort(grams)
+    grams, r = grams[order], ratios(by_label[order], zeros, ones)
+    shared = docs.sparkSession.sparkContext.broadcast(grams)
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(shared.value, np.zeros(len(shared.value)), 0.0)
+        for batch in batches:
+            for a, b, row, slot in model.hits(batch.column("text")):
+                at = np.searchsorted(row, np.arange(b - a + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(slot.astype(np.int32)))
+                yield pa.record_batch({"i": batch.column("i").slice(a, b - a), "y": batch.column("y").slice(a, b - a), "slots": lists})
+
+    kind = sample.schema["i"].dataType.simpleString()
+    found = sample.mapInArrow(hits, f"i {kind}, y long, slots array<int>").sort("i").toArrow()  # at most TRAIN_ROWS rows of FEATURES slots
+    slots = found.column("slots").combine_chunks()
+    row = np.repeat(np.arange(len(slots)), np.diff(slots.offsets.to_numpy()))
+    return learn(grams, r, row, slots.flatten().to_numpy(zero_copy_only=False), found.column("y").to_numpy())
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxicity") -> DataFrame:

@@ -5,6 +5,7 @@ import re
 import string
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -62,13 +63,125 @@ def test_toxicity_without_two_labels(spark, labels, want):
     assert model.scores(pa.array(["zzz"]))[0] == pytest.approx(want, abs=1e-6)
 
 
-def test_scores_do_not_depend_on_neighbours(spark, sf):
+def test_scores_do_not_depend_on_neighbours(spark):
     """A row's score is that of its text alone: n-grams do not reach into the next row."""
     texts = ["abc", "def", "abcdef", "", "abc def"]
-    model = toxicity.train(pa.array(["abcdef"] * 5 + ["xyz"] * 5), np.array([1] * 5 + [0] * 5))
+    rows = docs(spark, list(enumerate(["abcdef"] * 5 + ["xyz"] * 5)), False)
+    model = toxicity.fit(rows, spark.createDataFrame([(i, int(i < 5)) for i in range(10)], "doc_id long, toxic int"), F.lit(True))
     assert np.allclose(model.scores(pa.array(texts)), [model.scores(pa.array([t], pa.string()))[0] for t in texts])
 
 
+def plain_toxicity(rows):
+    """The scorer that the classifier must be: n-grams as strings, one weight each, learned by the same steps."""
+    grams = lambda t: {t[i : i + n] for n in toxicity.ORDERS for i in range(len(t) - n + 1)}
+    low = lambda t: re.sub("[\t-\r]", " ", (t or "").lower())
+    y = np.array([label for _, label in rows], float)
+    ones, zeros = int(y.sum()), int(len(y) - y.sum())
+    sets = [grams(low(t)) for t, _ in rows]
+    p = Counter(g for s, k in zip(sets, y) if k for g in s)
+    q = Counter(g for s, k in zip(sets, y) if not k for g in s)
+
+    def llr(g):
+        part = lambda k, n: k * np.log(f := min(max(k / n, 1e-9), 1 - 1e-9)) + (n - k) * np.log(1 - f)
+        return part(p[g], ones) + part(q[g], zeros) - part(p[g] + q[g], ones + zeros)
+
+    kept = sorted((g for g in p | q if p[g] + q[g] >= toxicity.MIN_ROWS), key=llr, reverse=True)
+    assert len(kept) <= toxicity.FEATURES  # so that no tie decides
+    r = np.array([np.log((p[g] + 0.5) / (ones + 1)) - np.log((q[g] + 0.5) / (zeros + 1)) for g in kept])
+    x = np.array([[g in s for g in kept] for s in sets], float) * r
+    w, bias, m, v = np.full(len(kept), 0.01), np.log((ones + 0.5) / (zeros + 0.5)), 0.0, 0.0
+    for t in range(1, 301):
+        err = 1 / (1 + np.exp(-(x @ w + bias))) - y
+        grad = np.append(x.T @ err / len(y) + toxicity.RIDGE * w / len(y), err.mean())
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        step = 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w, bias = w - step[:-1], bias - step[-1]
+    return lambda t: 1 / (1 + np.exp(-(np.array([g in grams(low(t)) for g in kept], float) * r @ w + bias)))
+
+
+@pytest.mark.parametrize("held", [2_000_000, 50])
+def test_toxicity_is_the_plain_classifier(spark, monkeypatch, held):
+    monkeypatch.setattr(toxicity, "_HELD", held)
+    rnd = random.Random(6)
+    words = ["calm", "Words", "über", "plain", "vile", "rotten", "thing", "\n"]
+    rows = []
+    for i in range(80):
+        bad = rnd.random() < 0.4
+        rows.append((i, " ".join(rnd.choice(words[:4] + words[6:] + (words[4:6] * 2 if bad else [])) for _ in range(rnd.randrange(1, 6))), int(bad)))
+    want = plain_toxicity([(t, k) for _, t, k in rows])
+    model = toxicity.fit(docs(spark, [(i, t) for i, t, _ in rows], False), spark.createDataFrame([(i, k) for i, _, k in rows], "doc_id long, toxic int"), F.lit(True))
+    texts = ["vile thing", "calm words", "", "ROTTEN\tthing über", "nothing known"] + [t for _, t, _ in rows[:20]]
+    assert np.allclose(model.scores(pa.array(texts)), [want(t) for t in texts], atol=1e-6)
+
+
+def test_samples_are_bounded_in_rows(spark):
+    """An id that has thousands of rows is one row of a sample, the least one."""
+    df = docs(spark, [(1, f"text {i:05d}") for i in range(20_000)] + [(2, "b"), (3, None), (None, "c")])
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1), (3, 0), (None, 1), (9, 1)], "doc_id long, toxic int")
+    got = toxicity.labelled_sample(df.select("doc_id", "text"), labels, "toxic", F.lit(True), 100).collect()
+    assert sorted((r.doc_id, r.text, r._label) for r in got) == [(1, "text 00000", 0), (2, "b", 1), (3, None, 1)]
+    assert toxicity.labelled_sample(df.select("doc_id", "text"), labels, "toxic", F.lit(True), 2).count() <= 2
+
+
+def plain_boosting(m, y, rounds, pair_rounds):
+    """Cyclic boosting of lookup tables and of pairs' tables, entry by entry."""
+    n, k = m.shape
+    best_cut = lambda g, h: max(((sum(g[:c]) ** 2 / (sum(h[:c]) + 1) + sum(g[c:]) ** 2 / (sum(h[c:]) + 1) - sum(g) ** 2 / (sum(h) + 1), -c) for c in range(1, len(g))), default=(0.0, 0))
+
+    def tree(g, h):
+        leaves = [list(range(len(g)))]
+        for _ in range(2):
+            gain, cut, leaf = max(((*best_cut([g[i] for i in leaf], [h[i] for i in leaf]), leaf) for leaf in leaves), key=lambda o: (o[0], -o[1], o[2][0]))
+            if gain <= 1e-9:
+                break
+            leaves.remove(leaf)
+            leaves += [leaf[:-cut], leaf[-cut:]]
+        return {i: -sum(g[j] for j in leaf) / (sum(h[j] for j in leaf) + 1) for leaf in leaves for i in leaf}
+
+    def sums(cell, size):
+        g, h = [0.0] * size, [0.0] * size
+        for i in range(n):
+            p = 1 / (1 + np.exp(-z[i]))
+            g[cell[i]] += p - y[i]
+            h[cell[i]] += p * (1 - p)
+        return g, h
+
+    z = np.full(n, np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
+    bins, cells = ([np.searchsorted(np.unique(np.quantile(m[:, f], np.arange(1, b) / b)), m[:, f], "right").tolist() for f in range(k)] for b in (quality.BINS, quality.GRID))
+    for _ in range(rounds):
+        for f in range(k):
+            t = tree(*sums(bins[f], max(bins[f]) + 1))
+            z = z + quality.RATE * np.array([t[b] for b in bins[f]])
+    size = quality.GRID
+    gain = {}
+    for f in range(k):
+        for e in range(f + 1, k):
+            g, h = sums([a * size + b for a, b in zip(cells[f], cells[e])], size * size)
+            gain[f, e] = sum(a * a / (b + 1) for a, b in zip(g, h))
+    pairs = sorted(gain, key=lambda p: (gain[p], p), reverse=True)[: quality.PAIRS]
+    for _ in range(pair_rounds):
+        for f, e in pairs:
+            g, h = (np.array(x).reshape(size, size) for x in sums([a * size + b for a, b in zip(cells[f], cells[e])], size * size))
+            halves = lambda at: ((0, at), (at, size))
+            value = lambda at: sum(max(best_cut(g[a:b].sum(0).tolist(), h[a:b].sum(0).tolist())[0], -1e18) + g[a:b].sum() ** 2 / (h[a:b].sum() + 1) for a, b in halves(at))
+            at = max(range(1, size), key=value)
+            step = np.zeros((size, size))
+            for a, b in halves(at):
+                t = tree(g[a:b].sum(0).tolist(), h[a:b].sum(0).tolist())
+                step[a:b] = [t[j] for j in range(size)]
+            z = z + quality.RATE * step[cells[f], cells[e]]
+    return z
+
+
+def test_quality_is_the_plain_boosting(monkeypatch):
+    monkeypatch.setattr(quality, "ROUNDS", 6)
+    monkeypatch.setattr(quality, "PAIR_ROUNDS", 4)
+    rng = np.random.default_rng(2)
+    m = rng.random((150, 4))
+    y = ((m[:, 0] + 0.5 * (m[:, 1] > 0.5) * (m[:, 2] > 0.4) + 0.3 * rng.random(150)) > 0.8).astype(float)
+    assert np.allclose(quality.train(m, y).logits(m), plain_boosting(m, y, 6, 4), atol=1e-9)
+
+
 def test_quality_features():
     texts = ["The THE the the.", None, "", "a\nb\na\n\nb c", "1! | é", "x" * 100_000]
     m = np.concatenate(list(quality.features(pa.array(texts))))
