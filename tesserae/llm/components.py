@@ -22,24 +22,36 @@ def _state(e: DataFrame) -> tuple:
 
 
 def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition's links (a, b) as stars around the least node of each of its parts."""
-    got = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches if b.num_rows]
+    """A partition's links (a, b) as stars around the least node of each of its parts; more than EDGES_PER_TASK are contracted that many at a time."""
+    got: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        if size and size + batch.num_rows > EDGES_PER_TASK:
+            yield _stars(got)
+            got, size = [], 0
+        if batch.num_rows:
+            got.append((batch.column("a").to_numpy(), batch.column("b").to_numpy()))
+            size += batch.num_rows
     if got:
-        a, b = (np.concatenate(x) for x in zip(*got))
-        nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-        a, b = ends[: len(a)], ends[len(a) :]
-        label = np.arange(len(nodes))
-        while True:
-            new = label.copy()
-            least = np.minimum(label[a], label[b])
-            for x in (a, b, label[a], label[b]):
-                np.minimum.at(new, x, least)
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        far = np.flatnonzero(label != np.arange(len(nodes)))
-        yield pa.record_batch({"a": nodes[far], "b": nodes[label[far]]})
+        yield _stars(got)
+
+
+def _stars(links: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b = (np.concatenate(x) for x in zip(*links))
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        new = label.copy()
+        least = np.minimum(label[a], label[b])
+        for x in (a, b, label[a], label[b]):
+            np.minimum.at(new, x, least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    far = np.flatnonzero(label != np.arange(len(nodes)))
+    return pa.record_batch({"a": nodes[far], "b": nodes[label[far]]})
 
 
 def _contract(edges: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@
 4. A family's sets meet in blocks of bounded size. Within a block, and between
    every block and the family's root, all links are verified exactly on full
    sets. Families of several blocks that this leaves in several parts also
-   compare block with block. No pair leaves a task but as a verified link.
+   compare across blocks: a set goes to those other blocks where its bands meet
+   another part's. No pair leaves a task but as a verified link.
 """
 
 from __future__ import annotations
@@ -201,6 +202,16 @@ def _between(threshold: int):
     return run
 
 
+def _routes(classes: DataFrame, apart: DataFrame) -> DataFrame:
+    """(rep, other): the other blocks of its family in which a band of the set is also one of another part. apart: (rep, family, part, block)."""
+    banded = table(classes.select("rep", "keys").join(apart, "rep").select("rep", "family", "part", "block", F.explode("keys").alias("key")), "banded")
+    held = banded.groupBy("family", "key", "block").agg(F.min("part").alias("least"), F.max("part").alias("most"))
+    several = held.groupBy("family", "key").agg(F.min("least").alias("x"), F.max("most").alias("y"), F.count("*").alias("c")).filter("x <> y and c > 1").select("family", "key")
+    held = held.join(several, ["family", "key"]).withColumnRenamed("block", "other")
+    met = banded.join(held, ["family", "key"]).filter("other <> block and (least <> part or most <> part)")
+    return table(met.select("rep", "other").distinct(), "routes")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs.
 
@@ -244,9 +255,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         torn = table(loose.groupBy("family").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select("family"), "torn")
         if not torn.isEmpty():
             apart = table(loose.join(torn, "family"), "apart")
-            again = sets.join(apart.select("rep", "part"), "rep")
-            other = F.explode(F.array_except(F.sequence(F.lit(0), F.col("blocks") - 1), F.array("block")))
-            again = again.withColumn("other", other).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other")
+            again = sets.join(apart.select("rep", "part"), "rep").join(_routes(classes, apart.join(placed.select("rep", "block"), "rep")), "rep")
+            again = again.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other")
             again = again.repartition("family", "low", "high").sortWithinPartitions("family", "low", "high")
             more = table(again.mapInArrow(_between(threshold), "a long, b long"), "more")
             merged = table(components(more).toDF("part", "least"), "merged")

@@ -113,6 +113,36 @@ def test_near_duplicates(spark, monkeypatch, blocks):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in sets if label[i] == i) and kept.columns == ["doc_id", "text"]
 
 
+def test_bands_find_links_at_the_threshold():
+    """Sets of similarity 0.75 share a band but for about one pair in a million; far ones seldom do."""
+    rng = np.random.default_rng(7)
+    pairs = 4000
+    for size, common, most_missed, most_met in ((70, 60, 0, pairs), (7, 6, 0, pairs), (70, 10, pairs, pairs // 10)):
+        every = rng.integers(1, 1 << 63, (pairs, 2 * size - common), dtype=np.uint64)
+        a, b = (sketch.band_keys(sketch.sketches([np.sort(r) for r in x], near_dup.COORDINATES), near_dup.ROWS) for x in (every[:, :size], every[:, size - common :]))
+        met = (a == b).any(1).sum()
+        assert pairs - met <= most_missed and met <= most_met
+
+
+def test_chains_across_blocks(spark, monkeypatch):
+    """A family of many blocks and parts: windows over one sequence of words, linked to their neighbours only where they overlap enough."""
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 300)
+    monkeypatch.setattr(near_dup, "BLOCK_DOCS", 3)
+    sent = []
+    plain = near_dup._routes
+    monkeypatch.setattr(near_dup, "_routes", lambda *a: sent.append(plain(*a)) or sent[-1])
+    words, rows, at = [f"w{i}" for i in range(2000)], [], 0
+    for k in range(60):
+        rows.append((k * 7 % 61 + 1, " ".join(words[at : at + 84])))
+        at += (5, 10, 14)[k % 3]
+    rows = [(i, t) for i, t in rows] + [(100 + k, " ".join(words[k * 80 : k * 80 + 84])) for k in range(20)]
+    sets, label = brute_components(rows)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == label and len(set(label.values())) > 5
+    blocks = len({r.other for s in sent for r in s.collect()})
+    assert sent and sum(s.count() for s in sent) < len(rows) * (blocks - 1)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(docs(spark, ODD)).collect()), key=str)
     want = [(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False), (6, 1, 6, True), (7, 1, 6, False), (8, 1, 8, True), (9, 1, 9, True), (10, 1, 10, True)]
