@@ -2,19 +2,17 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the one
 before it kept. Between stages the rows are written as Parquet and read again,
-so a lost executor costs at most the stage at hand.
+so a lost executor costs at most the stage at hand; these files go when the application ends.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import decontaminate, near_dup, packing, secrets, toxicity
 from tesserae.llm.catalog import tokenizer_path
-from tesserae.llm.frames import shared_dir
+from tesserae.llm.frames import table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +54,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = table(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
 
 
