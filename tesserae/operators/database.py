@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..plans.predicate import IdSet, compile_query, ids
 from ..sources import upsert
 from ..sources.ddl import declare
-from ..types import EngineError, FieldDef, Kind, TableDef
+from ..types import EngineError, FieldDef, Kind, TableDef, TypeMismatch
 from .stats import capped, capped_by_key
 
 
@@ -140,6 +140,13 @@ class Database:
     def all_ids(self, name: str) -> DataFrame:
         return self.frames[name].select("id", "ord")
 
+    def between(self, name: str, field: str, low: float, high: float) -> DataFrame:
+        """(id, ord) of rows whose number is from low to high, both included."""
+        declared = self.tables[name].field(field)
+        if declared is None or declared.kind not in (Kind.INT, Kind.FLOAT):
+            raise TypeMismatch(f"{field} is no number of {name}")
+        return self.frames[name].filter(F.col(f"`{field}`").between(F.lit(low), F.lit(high))).select("id", "ord")
+
     def point(self, name: str, id_: object) -> DataFrame:
         """The fields of one id."""
         return self.frames[name].filter(F.col("id") == F.lit(id_)).drop("ord", "seq")

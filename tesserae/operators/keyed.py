@@ -6,8 +6,9 @@ is the last write of each (pool, key, field) that has not expired and was not de
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..types import EngineError
 
@@ -34,6 +35,11 @@ def expiry(at: Column, ttl_seconds: Column | int) -> Column:
     return F.when(ttl > 0, F.timestamp_micros(F.unix_micros(at.cast("timestamp")) + ttl * 1_000_000))
 
 
+def expire_at(entries: DataFrame, which: Column, at: Column | None, expire_at: str = "expire_at") -> DataFrame:
+    """The entries, where those that `which` names expire at the given time; None: never."""
+    return entries.withColumn(expire_at, F.when(which, F.lit(None).cast("timestamp") if at is None else at.cast("timestamp")).otherwise(F.col(expire_at)))
+
+
 def alive(entries: DataFrame, now: Column, expire_at: str = "expire_at") -> DataFrame:
     """Entries without an expiry or with one after now."""
     return entries.filter(F.col(expire_at).isNull() | (F.col(expire_at) > now))
@@ -55,9 +61,9 @@ def first_field(entries: DataFrame, key: str, field: str, value: str) -> DataFra
 
 
 def popped(entries: DataFrame, key: str, field: str) -> DataFrame:
-    """All entries but each key's least field."""
-    least = F.min(field).over(Window.partitionBy(key))
-    return entries.withColumn("_least", least).filter(F.col(field) != F.col("_least")).drop("_least")
+    """All entries but each key's least field: minima by partial aggregation, joined back (broadcast if Catalyst finds them small)."""
+    least = entries.groupBy(F.col(key).alias("_key")).agg(F.min(field).alias("_least"))
+    return entries.join(least, F.col(key).eqNullSafe(F.col("_key"))).filter(F.col(field) != F.col("_least")).drop("_key", "_least")
 
 
 def sizes(entries: DataFrame, key: str) -> DataFrame:
@@ -68,3 +74,19 @@ def sizes(entries: DataFrame, key: str) -> DataFrame:
 def unsigned_order(field: Column) -> Column:
     """The big-endian bytes of a long: their order is that of the unsigned number, negatives after positives."""
     return F.unhex(F.lpad(F.hex(field), 16, "0"))
+
+
+def pools(entries: DataFrame, pool: str) -> DataFrame:
+    """(pool, n): the pools of a store and how many entries each holds."""
+    return entries.groupBy(pool).agg(F.count("*").alias("n"))
+
+
+def save(entries: DataFrame, path: str, now: Column, pool: str | None = None, expire_at: str = "expire_at") -> None:
+    """Writes what is alive at `now`, one folder to a pool; expiries are points in time, so they hold however much later it is read."""
+    writer = alive(entries, now, expire_at).write.mode("overwrite")
+    (writer.partitionBy(pool) if pool else writer).parquet(path)
+
+
+def load(spark: SparkSession, path: str, schema: T.StructType, now: Column, expire_at: str = "expire_at") -> DataFrame:
+    """The saved entries that are alive at `now`; what expired in between does not come back."""
+    return alive(spark.read.schema(schema).parquet(path), now, expire_at).select(*schema.names)

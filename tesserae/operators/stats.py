@@ -28,8 +28,9 @@ def capped(df: DataFrame, value: str, id_: str, limit: int) -> DataFrame:
     return df.filter(F.col(value).isNotNull()).orderBy(F.desc(value), F.desc(id_)).limit(limit)
 
 
-def capped_by_key(entries: DataFrame, key: str, value: str, id_: str, limit: int) -> DataFrame:
-    """For each key the `limit` heaviest entries, ties to the larger id; ranks are limited before the shuffle."""
+def capped_by_key(entries: DataFrame, key: str, value: str, id_: str, limit: int, where: Column | None = None) -> DataFrame:
+    """For each key the `limit` heaviest entries (of those that `where` allows), ties to the larger id; ranks are limited before the shuffle."""
+    entries = entries if where is None else entries.filter(where)
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(value), F.desc(id_)))
     return entries.withColumn("_place", place).filter(F.col("_place") <= limit).drop("_place")
 

@@ -27,7 +27,8 @@ CUSTOMER = "customer(c_custkey id, c_mktsegment mutex, c_acctbal float, c_nation
 DOCUMENTS = "documents(doc_id id, lang mutex, source mutex, n_chars int)"
 LABELS = "labels(doc_id id, quality bool, toxic bool)"
 USERS = "users(user_id id, tags set, w weight_set, n int, vmax float, churned bool)"
-FIRST_WEEK = "2024-01-08"
+#: A user's tags are the types of which they have this many events or more.
+TAG_EVENTS = 12
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,12 +40,13 @@ def _micros() -> Column:
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per user of the first week: tags, weights by tag, events, greatest value, any error."""
-    e = read(spark, sf_dir, "events").filter(F.col("ts") < F.lit(FIRST_WEEK).cast("timestamp"))
-    by_type = e.groupBy("user_id", "event_type").agg(F.count("*").alias("c"), F.max("value").alias("m"))
+    """One row per user of events: frequent types as tags, weights by type of those, events, greatest value, any frequent error."""
+    by_type = read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("c"), F.max("value").alias("m"))
+    often = F.col("c") >= TAG_EVENTS
     return by_type.groupBy("user_id").agg(
-        F.sort_array(F.collect_set("event_type")).alias("tags"), F.map_from_entries(F.collect_list(F.struct("event_type", F.col("c").cast("float")))).alias("w"),
-        F.sum("c").alias("n"), F.max("m").cast("float").alias("vmax"), F.max(F.col("event_type") == "error").alias("churned"),
+        F.sort_array(F.collect_set(F.when(often, F.col("event_type")))).alias("tags"),
+        F.map_from_entries(F.collect_list(F.when(often, F.struct("event_type", F.col("c").cast("float"))))).alias("w"),
+        F.sum("c").alias("n"), F.max("m").cast("float").alias("vmax"), F.max((F.col("event_type") == "error") & often).alias("churned"),
     )
 
 
@@ -87,8 +89,8 @@ def _where(table: str, condition: str) -> str:
     return f"SELECT {_ID[table]} AS id FROM {table} WHERE {condition}"
 
 
-_USERS_SQL = f"""WITH e AS (SELECT * FROM events WHERE ts < TIMESTAMP '{FIRST_WEEK}'),
-u AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'purchase') AS buys, CAST(max(value) AS FLOAT) AS vmax FROM e GROUP BY user_id) """
+_USERS_SQL = f"""WITH t AS (SELECT user_id, event_type, count(*) AS c FROM events GROUP BY 1, 2),
+u AS (SELECT user_id, sum(c) AS n, count(*) FILTER (event_type = 'error' AND c >= {TAG_EVENTS}) AS errors, count(*) FILTER (event_type = 'purchase' AND c >= {TAG_EVENTS}) AS buys FROM t GROUP BY 1) """
 
 for _name, _table, _text, _condition in (
     ("sel_mutex_eq", "orders", 'orders.o_orderstatus=="F"', "o_orderstatus = 'F'"),
@@ -140,7 +142,7 @@ for _name, _text, _sql in (
 
 @query("SELECT p_partkey AS id FROM part WHERE p_size BETWEEN 5 AND 15")
 def sel_int_between(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "part").filter(F.col("p_size").between(5, 15)).select(F.col("p_partkey").alias("id"))
+    return database(spark, sf_dir, "part").between("part", "p_size", 5, 15).select("id")
 
 
 @query("SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F' AND CAST(o_totalprice AS FLOAT) > 100000 ORDER BY 1 LIMIT 100 OFFSET 100")
@@ -201,7 +203,7 @@ def topk_limit_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""SELECT tag, user_id, weight FROM (SELECT event_type AS tag, user_id, CAST(count(*) AS FLOAT) AS weight, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, user_id DESC) AS r
-    FROM events WHERE ts < TIMESTAMP '{FIRST_WEEK}' GROUP BY 1, 2) WHERE r <= 5"""
+    FROM events GROUP BY 1, 2 HAVING count(*) >= {TAG_EVENTS}) WHERE r <= 5"""
 )
 def topk_limit_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five heaviest users of every tag."""
@@ -209,7 +211,7 @@ def topk_limit_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.capped_by_key(entries, "tag", "weight", "user_id", 5).select("tag", "user_id", "weight")
 
 
-@query(f"SELECT event_type AS value, count(DISTINCT user_id) AS n FROM events WHERE ts < TIMESTAMP '{FIRST_WEEK}' GROUP BY 1")
+@query(f"SELECT event_type AS value, count(*) AS n FROM (SELECT user_id, event_type FROM events GROUP BY 1, 2 HAVING count(*) >= {TAG_EVENTS}) GROUP BY 1")
 def inv_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.cardinalities(users(spark, sf_dir), "tags", "user_id")
 
@@ -256,10 +258,12 @@ def delete_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder for a query's files: in the shared folder of the cluster, or a temporary one where none is set."""
-    import tempfile
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.gettempdir()
+    """A new folder for a query's files in the cluster's shared folder; without one set, in the warehouse of a local session."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tesserae-scratch"
     path = f"{folder}/tesserae-{uuid.uuid4().hex}"
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
@@ -328,10 +332,18 @@ def dict_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.merge(_codebook(spark, sf_dir), other, "k", "v")
 
 
-@query("SELECT user_id AS k, arg_max(event_type, ts) AS v FROM events GROUP BY user_id HAVING arg_max(event_type, ts) <> 'error'")
+_LAST = "arg_max({0}, epoch_us(ts)::HUGEINT * 1000000000 + event_id)"
+
+
+def _order() -> Column:
+    """The order of events: by time, those of one time by id."""
+    return F.struct(_micros().alias("at"), F.col("event_id").alias("id"))
+
+
+@query(f"SELECT user_id AS k, {_LAST.format('event_type')} AS v FROM events GROUP BY user_id HAVING {_LAST.format('event_type')} <> 'error'")
 def kv_set_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last write of every key; an error event deletes its key."""
-    writes = read(spark, sf_dir, "events").select(F.col("user_id").alias("k"), F.col("event_type").alias("v"), _micros().alias("seq"), (F.col("event_type") == "error").alias("gone"))
+    writes = read(spark, sf_dir, "events").select(F.col("user_id").alias("k"), F.col("event_type").alias("v"), _order().alias("seq"), (F.col("event_type") == "error").alias("gone"))
     return keyed.state(writes, ["k"], deleted="gone").select("k", "v")
 
 
@@ -368,11 +380,11 @@ def omap_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.sizes(_entries(spark, sf_dir), "key")
 
 
-@query("SELECT event_type AS field, arg_max(event_id, ts) AS value FROM events WHERE user_id = 7 GROUP BY 1")
+@query(f"SELECT event_type AS field, {_LAST.format('event_id')} AS value FROM events WHERE user_id = 7 GROUP BY 1")
 def hmap_get_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All fields of one hash map, each with its last value."""
     e = read(spark, sf_dir, "events").filter("user_id = 7")
-    writes = e.select(F.col("user_id").alias("key"), F.col("event_type").alias("field"), F.col("event_id").alias("value"), _micros().alias("seq"))
+    writes = e.select(F.col("user_id").alias("key"), F.col("event_type").alias("field"), F.col("event_id").alias("value"), _order().alias("seq"))
     return keyed.state(writes, ["key", "field"]).select("field", "value")
 
 
@@ -711,26 +723,26 @@ def stream_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily counts by type of a stream; the state is complete because a last row far ahead closes all windows."""
+    """Daily counts by type of a stream, each given once its window is closed; a last row far ahead closes all windows of events."""
     source, path = _scratch(spark), _scratch(spark)
     e = read(spark, sf_dir, "events").select("ts", "event_type")
-    e.coalesce(1).write.parquet(source)
+    far = spark.sql("SELECT TIMESTAMP_NTZ '2200-01-01 00:00:00' AS ts, 'end' AS event_type").select(F.col("ts").cast(e.schema["ts"].dataType), "event_type")
+    e.union(far).write.parquet(source)
     stream = spark.readStream.schema(e.schema).parquet(source)
     counts = ingest.windowed_counts(stream, "ts", "event_type", "1 day", "1 day")
-    q = counts.writeStream.outputMode("complete").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{path}/out")).option("checkpointLocation", f"{path}/c").trigger(availableNow=True).start()
+    q = counts.writeStream.outputMode("append").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{path}/out/batch={n}")).option("checkpointLocation", f"{path}/c").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{path}/out").select("event_type", F.col("window.start").cast("timestamp_ntz").alias("day"), "n")
 
 
 @query(
-    """SELECT c_custkey AS id, CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS negative, row_number() OVER (ORDER BY CAST(c_acctbal AS FLOAT), c_custkey) AS place FROM customer
-    QUALIFY place <= 50"""
+    """SELECT c_custkey AS id, c_acctbal < 0 AS negative, CASE WHEN b >= 0 THEN b + 2147483648 ELSE -1 - b END AS image
+    FROM (SELECT c_custkey, c_acctbal, CAST(CAST(CAST(CAST(c_acctbal AS FLOAT) AS BIT) AS INTEGER) AS BIGINT) AS b FROM customer)"""
 )
 def float_order_image(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The unsigned image of floats sorts as the floats do."""
-    c = read(spark, sf_dir, "customer").withColumn("image", stats.order_image(F.col("c_acctbal").cast("float")))
-    least = c.orderBy("image", "c_custkey").limit(50).agg(F.sort_array(F.collect_list(F.struct("image", "c_custkey", "c_acctbal"))).alias("a"))
-    return least.select(F.posexplode("a").alias("p", "r")).select(F.col("r.c_custkey").alias("id"), F.when(F.col("r.c_acctbal") < 0, 1).otherwise(0).alias("negative"), (F.col("p") + 1).cast("long").alias("place"))
+    """The unsigned image of every float, which sorts as the floats do."""
+    c = read(spark, sf_dir, "customer")
+    return c.select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") < 0).alias("negative"), stats.order_image(F.col("c_acctbal").cast("float")).alias("image"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

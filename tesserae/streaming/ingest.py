@@ -50,6 +50,22 @@ def log_state(spark: SparkSession, path: str, machine: str, index: str, op: str,
     return replay(once, machine, index, op, value, start, after)
 
 
+def compact(spark: SparkSession, path: str, target: str, keys: list[str], seq: str, schema: T.StructType) -> None:
+    """Writes the state of all applied batches to a folder of its own, as one batch: readers of it see no superseded writes.
+    Applied batches stay, and running it again replaces the folder."""
+    upsert_state(spark, path, keys, seq, schema).write.mode("overwrite").parquet(f"{target}/batch=0")
+
+
+def live_spans(stream: DataFrame, time: str, key: str, ttl: str, late: str) -> DataFrame:
+    """(key, born, expires, writes): a key lives from its first write until none has come for `ttl`.
+
+    Session windows keep the state of live keys only: once the watermark has passed
+    a key's expiry, its span is given and its state is dropped.
+    """
+    spans = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.session_window(time, ttl).alias("_w"), key)
+    return spans.agg(F.count("*").alias("writes")).select(key, F.col("_w.start").alias("born"), F.col("_w.end").alias("expires"), "writes")
+
+
 def json_line_stream(spark: SparkSession, folder: str, schema: T.StructType, files_each: int = 100) -> DataFrame:
     """A stream of JSON lines of a folder; unreadable lines are left out."""
     return parse_lines(spark.readStream.option("maxFilesPerTrigger", files_each).text(folder), schema)

@@ -209,3 +209,61 @@ def test_put_keeps_the_largest_values(spark):
     db.put("t", rows(spark, {"id": "d", "n": 4}, {"id": "a", "x": 9.0}))
     assert got() == {"a": (None, {"l": 5.0}, 9.0), "b": (None, {"k": 2.0}, 2.0), "c": (3, {}, None), "d": (4, None, 3.0)}
     assert {r.id for r in db.select("t.n>0").matched.collect()} == {"c", "d"}
+
+
+def test_replay_composes_segments(spark, monkeypatch):
+    """A machine's log folded in segments is what folding it entry by entry gives."""
+    monkeypatch.setattr(oplog, "SEGMENT", 7)
+    rnd = random.Random(5)
+    entries = [(rnd.choice("abc"), i, rnd.choice("++--*/?"), float(rnd.choice([1, 2, 4, -2, 0.5]))) for i in range(300)] + [("z", 1, "+", 3.0), ("z", 2, "/", 0.0), ("z", 40, "+", 1.0)]
+    want = {}
+    for m, _, op, v in sorted(entries, key=lambda e: e[1]):
+        x = want.get(m, 2.0)
+        want[m] = None if x is None or op == "/" and v == 0 else x + v if op == "+" else x - v if op == "-" else x * v if op == "*" else x / v if op == "/" else x
+    df = spark.createDataFrame(entries, "m string, i long, op string, v double").repartition(5)
+    got = {r.m: r.state for r in oplog.replay(df, "m", "i", "op", "v", 2.0).collect()}
+    assert got == {m: x if x is None else pytest.approx(x) for m, x in want.items()}
+
+
+def test_snapshots(spark, tmp_path):
+    df = spark.createDataFrame([("a", i, "+-*"[i % 3], float(i % 5)) for i in range(50)] + [("b", 45, "+", 2.0)], "m string, i long, op string, v double")
+    whole = {r.m: r.state for r in oplog.replay(df, "m", "i", "op", "v").collect()}
+    for last in (10, 30):
+        oplog.snapshot(oplog.replay(df.filter(F.col("i") <= last), "m", "i", "op", "v"), last, str(tmp_path / "s"))
+    assert {r.m: r.state for r in oplog.resumed(spark, str(tmp_path / "s"), df.filter("i > 20"), "m", "i", "op", "v").collect()} == whole
+
+
+def test_saved_caches_expire(spark, tmp_path):
+    df = spark.createDataFrame([("p", 1, "x", 100), ("p", 2, "y", 200), ("q", 3, "z", None), ("q", 4, "w", 10)], "pool string, k long, v string, s long").withColumn("expire_at", F.timestamp_seconds("s")).drop("s")
+    at = lambda s: F.timestamp_seconds(F.lit(s))
+    keyed.save(df, str(tmp_path / "c"), at(50), "pool")
+    back = lambda s: {r.k for r in keyed.load(spark, str(tmp_path / "c"), df.schema, at(s)).collect()}
+    assert back(60) == {1, 2, 3} and back(150) == {2, 3} and back(900) == {3}
+    assert {r.pool: r.n for r in keyed.pools(df, "pool").collect()} == {"p": 2, "q": 2}
+    moved = keyed.expire_at(keyed.expire_at(df, F.col("k") == 1, at(500)), F.col("k") == 2, None)
+    assert {r.k for r in keyed.alive(moved, at(300)).collect()} == {1, 2, 3}
+
+
+def test_builder_by_name(spark, tmp_path):
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("v", T.StringType())])
+    json_lines.register("words", schema, "k")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"k":1,"v":"a"}\n{"k":1,"v":"b"}\nbad\n{"v":"no key"}\n\n{"k":2,"v":"c"}\n')
+    b = json_lines.builder("words")
+    assert sorted(map(tuple, b.batch(spark, str(tmp_path / "in")).filter("k is not null").collect())) == [(1, "b"), (2, "c")]
+    assert sorted(r.value for r in b.broken(spark, str(tmp_path / "in")).collect()) == ["bad", '{"v":"no key"}']
+    b.stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    streamed = spark.read.schema(schema).parquet(str(tmp_path / "out")).filter("k is not null").select("k", "v")
+    assert sorted(map(tuple, streamed.collect())) == [(1, "b"), (2, "c")]
+    assert sorted(map(tuple, b.merged(streamed, [spark.createDataFrame([(2, "d"), (3, "e")], schema)]).collect())) == [(1, "b"), (2, "d"), (3, "e")]
+    with pytest.raises(EngineError):
+        json_lines.builder("none")
+
+
+def test_between(spark):
+    db = Database(spark)
+    db.create("t(id id, n int, m mutex)")
+    db.put("t", rows(spark, *({"id": i, "n": i} for i in range(6)), {"id": 9}))
+    assert sorted(r.id for r in db.between("t", "n", 2, 4).collect()) == ["2", "3", "4"]
+    with pytest.raises(EngineError):
+        db.between("t", "m", 1, 2)
