@@ -156,7 +156,9 @@ def tokens_of(text: Column) -> Column:
 def rules_frame(pages: DataFrame, rules: DataFrame | Iterable[Rule]) -> DataFrame:
     """Rules as a table; those without a pattern or verdict are none, null tokens are no token."""
     if not isinstance(rules, DataFrame):
-        rules = pages.sparkSession.createDataFrame([(r.name, r.pattern, list(r.tokens), r.verdict, r.layer) for r in rules], RULES_SCHEMA)
+        tokens = lambda r: F.array(*map(F.lit, r.tokens)).cast("array<string>")
+        rows = [F.struct(F.lit(r.name).alias("name"), F.lit(r.pattern).alias("pattern"), tokens(r).alias("tokens"), F.lit(r.verdict).alias("verdict"), F.lit(r.layer).alias("layer")) for r in rules]
+        rules = pages.sparkSession.range(1).select(F.inline(F.array(*rows).cast("array<struct<name:string,pattern:string,tokens:array<string>,verdict:string,layer:int>>")))
     tokens = F.filter(F.coalesce("tokens", F.array().cast("array<string>")), lambda t: t.isNotNull() & (t != ANY))
     return rules.filter("pattern is not null and verdict is not null").select(F.coalesce("name", "pattern").alias("name"), "pattern", tokens.alias("tokens"), "verdict", F.coalesce("layer", F.lit(2)).alias("layer"))
 
