@@ -172,6 +172,16 @@ def filed(urls: DataFrame, key: Column, rules: DataFrame) -> DataFrame:
     return each.groupBy("name", "pattern", "verdict", "layer").agg(F.coalesce(F.min_by("token", F.struct("count", "token")), F.lit(ANY)).alias("token"))
 
 
+def filed_few(urls: DataFrame, key: Column, rules: list[Rule]) -> list[tuple]:
+    """As `filed`, for rules that fit into the plan: one pass counts their tokens over all urls, and no more than those come back."""
+    wanted = sorted({t for r in rules for t in r.tokens})
+    counts = dict.fromkeys(wanted, 0)
+    if wanted:
+        met = urls.select(F.explode(F.array_intersect(tokens_of(key), F.array(*map(F.lit, wanted)))).alias("token")).groupBy("token").count()
+        counts |= {r["token"]: r["count"] for r in met.collect()}
+    return [(min(r.tokens, key=lambda t: (counts[t], t), default=ANY), r.name, r.pattern, r.verdict, r.layer) for r in rules]
+
+
 def _mapped(pages: DataFrame, key: Column, index: list[tuple], found: str) -> DataFrame:
     """Adds the first matching rule of an index that is a map in the plan."""
     by: dict[str, list[Column]] = {}
@@ -211,17 +221,21 @@ def filter_urls(pages: DataFrame, url: str = "url", rules: DataFrame | Iterable[
     """
     host, path = host_of(F.col(url)), path_of(F.col(url))
     key = F.concat(host, path, query_of(F.col(url)))
-    index = filed(pages, key, rules_frame(pages, rules))
     own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     found = "_first"
     while found in own:
         found += "_"
     base = pages.select(*own, host.alias("host"), path.alias("path"))
-    held = rules_frame(pages, rules).agg(F.sum(F.char_length("name") + F.char_length("pattern"))).first()[0] or 0
+    if isinstance(rules, DataFrame):
+        held = rules_frame(pages, rules).agg(F.sum(F.char_length("name") + F.char_length("pattern"))).first()[0] or 0
+    else:
+        rules = list(rules)
+        held = sum(len(r.name) + len(r.pattern) for r in rules)
     if held <= INDEX_BYTES:
-        rows = index.select("token", "name", "pattern", "verdict", "layer").collect()  # at most INDEX_BYTES of patterns
-        judged = _mapped(base, key, [tuple(r) for r in rows], found)
+        if isinstance(rules, DataFrame):
+            rules = [Rule(r["name"], r["pattern"], tuple(r["tokens"]), r["verdict"], r["layer"]) for r in rules_frame(pages, rules).collect()]  # at most INDEX_BYTES
+        judged = _mapped(base, key, filed_few(pages, key, rules), found)
     else:
-        judged = _joined(base, key, index, found)
+        judged = _joined(base, key, filed(pages, key, rules_frame(pages, rules)), found)
     first = F.col(found)
     return judged.select(*own, "host", "path", F.when(first["layer"] == 0, first["name"]).alias("rule"), F.coalesce(first["verdict"], F.lit("allow")).alias("verdict"))

@@ -478,3 +478,4 @@ def test_rules_are_filed_under_their_rarest_token(spark):
     key = F.concat(url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url")))
     rules = [url_filter.Rule("r", "common.*rare", ("common", "rare"), "block"), url_filter.Rule("n", "x", ("common", "none"), "block"), url_filter.Rule("e", "y", (), "block")]
     assert {r.name: r.token for r in url_filter.filed(df, key, url_filter.rules_frame(df, rules)).collect()} == {"r": "rare", "n": "none", "e": url_filter.ANY}
+    assert {name: token for token, name, *_ in url_filter.filed_few(df, key, rules)} == {"r": "rare", "n": "none", "e": url_filter.ANY}
