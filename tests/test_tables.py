@@ -267,3 +267,24 @@ def test_between(spark):
     assert sorted(r.id for r in db.between("t", "n", 2, 4).collect()) == ["2", "3", "4"]
     with pytest.raises(EngineError):
         db.between("t", "m", 1, 2)
+
+
+def test_session_state_and_compaction(spark, tmp_path):
+    """Keys live until no write has come for a day; compacted batches give the same state."""
+    from tesserae.streaming import ingest
+
+    stamp = lambda day, hour: f"2024-01-{day:02d} {hour:02d}:00:00"
+    writes = [(1, stamp(1, 0)), (1, stamp(1, 20)), (1, stamp(5, 0)), (2, stamp(2, 3)), (9, "2200-01-01 00:00:00")]
+    df = spark.createDataFrame(writes, "k long, at string").withColumn("ts", F.col("at").cast("timestamp")).drop("at")
+    df.write.parquet(str(tmp_path / "in"))
+    spans = ingest.live_spans(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "ts", "k", "1 day", "1 hour")
+    out = str(tmp_path / "out")
+    spans.writeStream.outputMode("append").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch={n}")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.k, str(r.born), str(r.expires), r.writes) for r in spark.read.parquet(out).collect())
+    assert got == [(1, stamp(1, 0), stamp(2, 20), 2), (1, stamp(5, 0), stamp(6, 0), 1), (2, stamp(2, 3), stamp(3, 3), 1)]
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("k", "v", "seq")])
+    for n in range(3):
+        spark.createDataFrame([(1, n, n), (n, 7, n)], schema).write.parquet(str(tmp_path / f"applied/batch={n}"))
+    ingest.compact(spark, str(tmp_path / "applied"), str(tmp_path / "small"), ["k"], "seq", schema)
+    state = lambda p: sorted(map(tuple, ingest.upsert_state(spark, str(tmp_path / p), ["k"], "seq", schema).filter("k <> 1").collect()))
+    assert state("small") == state("applied") == [(0, 7, 0), (2, 7, 2)]
