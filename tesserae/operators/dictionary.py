@@ -31,3 +31,8 @@ def commit(dictionary: DataFrame, path: str) -> DataFrame:
     """Writes the dictionary once; an existing one is not overwritten."""
     dictionary.write.mode("error").parquet(path)
     return dictionary.sparkSession.read.parquet(path)
+
+
+def size(dictionary: DataFrame) -> DataFrame:
+    """(n): the number of keys."""
+    return dictionary.agg(F.count("*").alias("n"))

@@ -76,6 +76,11 @@ def unsigned_order(field: Column) -> Column:
     return F.unhex(F.lpad(F.hex(field), 16, "0"))
 
 
+def ordered(entries: DataFrame, key: str, field: str) -> DataFrame:
+    """The entries by key, then by the unsigned order of their fields: sorted by ranges, so a hot key is spread."""
+    return entries.orderBy(key, unsigned_order(F.col(field)))
+
+
 def pools(entries: DataFrame, pool: str) -> DataFrame:
     """(pool, n): the pools of a store and how many entries each holds."""
     return entries.groupBy(pool).agg(F.count("*").alias("n"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import dataclasses
+import json
+import re
 import uuid
 from collections.abc import Callable
 
@@ -12,10 +15,11 @@ from pyspark.sql import types as T
 from .functions.expressions import Compiler, Function
 from .operators import dictionary, keyed, oplog, stats
 from .operators.database import Database, page
-from .plans.flow import Manager, Registry
+from .plans.flow import Manager, Registry, params_of_text
 from .sources import config, json_lines, upsert
 from .sources.ddl import declare
 from .streaming import ingest
+from .types import EngineError
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -745,6 +749,499 @@ def float_order_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") < 0).alias("negative"), stats.order_image(F.col("c_acctbal").cast("float")).alias("image"))
 
 
+@query(f"SELECT CAST(user_id AS VARCHAR) AS id, {_LAST.format('event_type')} AS key, CAST({_LAST.format('event_id % 97')} AS FLOAT) AS weight FROM events GROUP BY user_id")
+def upsert_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A weight set is replaced as a whole by the last row that has one."""
+    e = read(spark, sf_dir, "events").withColumn("seq", _micros() * 1000 + F.col("event_id") % 1000)
+    body = F.struct(F.col("user_id").alias("id"), F.create_map("event_type", F.col("event_id") % 97).alias("w"))
+    db = Database(spark)
+    db.create("u(id id, w weight_set)")
+    db.put("u", e.select("seq", F.to_json(body).alias("json")))
+    return db.frames["u"].select("id", F.explode("w").alias("key", "weight"))
+
+
+def _part_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as JSON rows, every tenth with a text for its size."""
+    size = F.when(F.col("p_partkey") % 10 == 0, F.lit('"many"')).otherwise(F.col("p_size").cast("string"))
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), F.concat(F.lit('{"id":'), F.col("p_partkey"), F.lit(',"size":'), size, F.lit("}")).alias("json"))
+
+
+@query("SELECT p_partkey AS seq, CASE WHEN p_partkey % 10 = 0 THEN 'unreadable or of another type' ELSE 'size out of bounds' END AS reason FROM part WHERE p_partkey % 10 = 0 OR p_size > 40")
+def upsert_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of another type or out of bounds are refused as a whole."""
+    db = Database(spark)
+    db.create("p(id id, size int[1,40])")
+    return db.put("p", _part_rows(spark, sf_dir)).select("seq", "reason")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS id, CAST(p_size AS BIGINT) AS size FROM part WHERE p_partkey % 10 <> 0 AND p_size <= 40")
+def upsert_taken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = Database(spark)
+    db.create("p(id id, size int[1,40])")
+    db.put("p", _part_rows(spark, sf_dir))
+    return db.frames["p"].select("id", "size")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, CAST(c_nationkey AS BIGINT) AS n FROM customer WHERE c_nationkey < 10")
+def upsert_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of closed ids takes rows of ids that another table brought, and no others."""
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("seq"), "c_nationkey", F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("n"))).alias("json"))
+    db = Database(spark)
+    db.create("known(id id, n int)")
+    db.put("known", c.filter("c_nationkey < 10"))
+    db.create(declare("closed(id id, n int)", closed_ids=True))
+    db.put("closed", c)
+    return db.frames["closed"].select("id", "n")
+
+
+@query("SELECT p_partkey AS id, p_brand FROM part WHERE p_size < 25")
+def save_load_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One saved table takes the place of the table of its name; the others stay."""
+    db, path = database(spark, sf_dir, "part", "orders"), _scratch(spark)
+    db.frames["part"] = db.frames["part"].filter("p_size < 25")
+    db.save(path, ["part"])
+    other = database(spark, sf_dir, "part", "orders")
+    other.load(path)
+    return other.frames["part"].select("id", "p_brand")
+
+
+@dataclasses.dataclass
+class Choice:
+    """Which orders are wanted."""
+
+    status: str = "O"
+    least: float = 0.0
+    priorities: list[str] = dataclasses.field(default_factory=list)
+
+
+def _chosen(spark: SparkSession, sf_dir: str, c: Choice) -> DataFrame:
+    o = read(spark, sf_dir, "orders").filter((F.col("o_orderstatus") == c.status) & (F.col("o_totalprice") >= c.least))
+    return (o.filter(F.col("o_orderpriority").isin(c.priorities)) if c.priorities else o).select("o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice >= 150000.5")
+def config_toml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings of a TOML text; a member of another type keeps its default."""
+    return _chosen(spark, sf_dir, config.from_toml('status = "F"\nleast = 150000.5\npriorities = "urgent"\n', Choice))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority IN ('1-URGENT', '2-HIGH')")
+def config_yaml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings of a YAML text; a member without a value keeps its default."""
+    return _chosen(spark, sf_dir, config.from_yaml("status:\npriorities: [1-URGENT, 2-HIGH]\n", Choice))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_totalprice >= 7")
+def config_renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members whose names are not those of the fields."""
+    return _chosen(spark, sf_dir, config.from_json('{"if": "P", "from": 7}', Choice, {"if": "status", "from": "least"}))
+
+
+_CUSTOMER_LINE = T.StructType([T.StructField("k", T.LongType()), T.StructField("v", T.StringType())])
+
+
+def _customer_lines(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of customers as JSON lines, where every seventh line is cut short and is followed by nothing."""
+    path = _scratch(spark)
+    line = F.to_json(F.struct(F.col("c_custkey").alias("k"), F.col("c_name").alias("v")))
+    read(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 7 == 0, F.lit('{"k": ')).otherwise(line).alias("value")).write.text(path)
+    return path
+
+
+@query("SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_custkey % 7 <> 0")
+def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines as they come; unreadable ones are left out."""
+    path = _scratch(spark)
+    lines = ingest.json_line_stream(spark, _customer_lines(spark, sf_dir), _CUSTOMER_LINE)
+    ingest.append_batches(lines, f"{path}/applied", f"{path}/checkpoint").awaitTermination()
+    return spark.read.schema(_CUSTOMER_LINE).parquet(f"{path}/applied").select("k", "v")
+
+
+@query("SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_custkey % 7 <> 0")
+def builder_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dataset built by the name of its builder."""
+    json_lines.register("customers", _CUSTOMER_LINE, "k")
+    return json_lines.builder("customers").batch(spark, _customer_lines(spark, sf_dir))
+
+
+@query("SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_custkey % 7 <> 0")
+def builder_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    json_lines.register("customers", _CUSTOMER_LINE, "k")
+    path = _scratch(spark)
+    json_lines.builder("customers").stream(spark, _customer_lines(spark, sf_dir), f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    return spark.read.schema(_CUSTOMER_LINE).parquet(f"{path}/rows").select("k", "v")
+
+
+@query("SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
+def builder_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a dataset by the keys of JSON probes."""
+    b = json_lines.register("customers", _CUSTOMER_LINE, "k")
+    probes = read(spark, sf_dir, "orders").filter("o_totalprice > 200000").select(F.to_json(F.struct(F.col("o_custkey").alias("k"))).alias("value"))
+    return b.lookup(b.batch(spark, _customer_lines(spark, sf_dir)), json_lines.parse_lines(probes, T.StructType([T.StructField("k", T.LongType())])))
+
+
+@query("SELECT doc_id, to_base64(encode(text)) AS code, CAST(octet_length(encode(text)) AS INTEGER) AS n FROM documents")
+def base64_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as base64, and the number of bytes that come back."""
+    code = json_lines.encoded(F.col("text").cast("binary"))
+    return read(spark, sf_dir, "documents").select("doc_id", code.alias("code"), F.octet_length(json_lines.decoded(code)).alias("n"))
+
+
+@query("SELECT p_partkey AS k, p_brand AS v FROM part WHERE p_size < 20")
+def dict_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary written once and opened again."""
+    return dictionary.commit(_codebook(spark, sf_dir), _scratch(spark)).select("k", "v")
+
+
+@query("SELECT count(*) AS n FROM part WHERE p_size < 20")
+def dict_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary.size(_codebook(spark, sf_dir))
+
+
+@query(f"SELECT user_id AS k, {_LAST.format('event_type')} AS v FROM events GROUP BY 1")
+def dict_put(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last put of every key."""
+    return dictionary.build(read(spark, sf_dir, "events").select(F.col("user_id").alias("k"), F.col("event_type").alias("v"), _order().alias("seq")), "k", "v", "seq")
+
+
+@query("SELECT event_id // 100000 AS segment, count(*) AS n, CAST(0 AS BIGINT) AS bad FROM events GROUP BY 1")
+def log_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of each segment of a stored log, and those whose checksum does not fit."""
+    path = _scratch(spark)
+    oplog.append(_log(spark, sf_dir), path, "i")
+    stored = spark.read.parquet(path)
+    counts = stored.groupBy("segment").agg(F.count("*").alias("n"))
+    bad = oplog.broken(stored, "i").groupBy("segment").agg(F.count("*").alias("bad"))
+    return counts.join(bad, "segment", "left").select(F.col("segment").cast("long").alias("segment"), "n", F.coalesce("bad", F.lit(0).cast("long")).alias("bad"))
+
+
+@query("SELECT user_id, CAST(sum(CASE WHEN event_type = 'error' THEN -(event_id % 97) ELSE event_id % 97 END) AS DOUBLE) AS state FROM events GROUP BY 1")
+def log_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot of the first entries, with the later ones applied to it."""
+    log, path = _log(spark, sf_dir), _scratch(spark)
+    oplog.snapshot(oplog.replay(log.filter("i <= 400"), "user_id", "i", "op", "v"), 400, path)
+    return oplog.resumed(spark, path, log, "user_id", "i", "op", "v")
+
+
+@query(
+    f"""SELECT tag, user_id, weight FROM (SELECT event_type AS tag, user_id, CAST(count(*) AS FLOAT) AS weight, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, user_id DESC) AS r
+    FROM events WHERE user_id % 3 <> 0 GROUP BY 1, 2 HAVING count(*) >= {TAG_EVENTS}) WHERE r <= 7"""
+)
+def topk_weight_where(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The heaviest users of every tag, of those that a filter allows."""
+    entries = users(spark, sf_dir).select("user_id", F.explode("w").alias("tag", "weight"))
+    return stats.capped_by_key(entries, "tag", "weight", "user_id", 7, F.col("user_id") % 3 != 0).select("tag", "user_id", "weight")
+
+
+@query("SELECT user_id AS k FROM events WHERE ts <= TIMESTAMP '2024-01-15' GROUP BY 1 HAVING user_id % 3 = 0 OR user_id % 3 = 1 AND max(ts) + INTERVAL 1 DAY > TIMESTAMP '2024-01-15'")
+def kv_expire_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expiries set to a point in time: later for a third of the keys, earlier for another."""
+    now = F.lit("2024-01-15").cast("timestamp")
+    writes = read(spark, sf_dir, "events").filter(F.col("ts") <= now).select(F.col("user_id").alias("k"), keyed.expiry(F.col("ts"), 86_400).alias("expire_at"))
+    entries = keyed.expire_at(keyed.rearmed(writes, ["k"]), F.col("k") % 3 == 0, F.lit("2024-02-01"))
+    return keyed.alive(keyed.expire_at(entries, F.col("k") % 3 == 2, F.lit("2024-01-14")), now).select("k")
+
+
+@query("SELECT event_type AS pool, count(*) AS n FROM (SELECT DISTINCT event_type, user_id FROM events) GROUP BY 1")
+def kv_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of each pool."""
+    writes = read(spark, sf_dir, "events").select(F.col("event_type").alias("pool"), F.col("user_id").alias("k"), F.col("event_id").alias("seq"))
+    return keyed.pools(keyed.state(writes, ["pool", "k"]), "pool")
+
+
+@query(
+    f"""SELECT pool, k, v FROM (SELECT event_type AS pool, user_id AS k, {_LAST.format('event_id')} AS v, max(ts) + INTERVAL 1 DAY AS x FROM events WHERE ts <= TIMESTAMP '2024-01-15' GROUP BY 1, 2)
+    WHERE x > TIMESTAMP '2024-01-15 08:00:00'"""
+)
+def kv_save_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store saved at one time and loaded eight hours later, without what expired by then."""
+    e, path = read(spark, sf_dir, "events").filter(F.col("ts") <= F.lit("2024-01-15").cast("timestamp")), _scratch(spark)
+    writes = e.select(F.col("event_type").alias("pool"), F.col("user_id").alias("k"), F.col("event_id").alias("v"), keyed.expiry(F.col("ts"), 86_400).alias("expire_at"), _order().alias("seq"))
+    entries = keyed.state(writes, ["pool", "k"]).select("pool", "k", "v", "expire_at")
+    keyed.save(entries, path, F.lit("2024-01-15").cast("timestamp"), "pool")
+    return keyed.load(spark, path, entries.schema, F.lit("2024-01-15 08:00:00").cast("timestamp")).select("pool", "k", "v")
+
+
+@query("SELECT CAST(n AS INTEGER) AS size, n BETWEEN 1 AND 256 AND n % 8 = 0 AS allowed FROM range(0, 300, 4) r(n)")
+def kv_field_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which sizes a field may have."""
+    return spark.createDataFrame([(n, _error(keyed.check_field_size, n) is None) for n in range(0, 300, 4)], "size int, allowed boolean")
+
+
+@query("SELECT user_id AS key, f AS field, lpad(hex(f), 16, '0') AS image FROM (SELECT user_id, CASE WHEN event_id % 2 = 0 THEN event_id ELSE -event_id END AS f FROM events)")
+def omap_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered maps in the order of their fields' bytes, so negative numbers come last, with these bytes."""
+    field = F.when(F.col("event_id") % 2 == 0, F.col("event_id")).otherwise(-F.col("event_id"))
+    rows = keyed.ordered(read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), field.alias("field")), "key", "field")
+    return rows.select("key", "field", F.hex(keyed.unsigned_order(F.col("field"))).alias("image"))
+
+
+def _batches(spark: SparkSession, path: str, stream: DataFrame) -> None:
+    """Runs a stream of closed windows to its end."""
+    ingest.append_batches(stream, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+
+
+@query(
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS span FROM g)
+    SELECT user_id AS k, min(ts) AS born, max(ts) + INTERVAL 12 HOUR AS expires, count(*) AS writes FROM s GROUP BY user_id, span"""
+)
+def stream_live_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From when to when every key of a stream lived; a row far ahead closes all spans."""
+    source, path = _scratch(spark), _scratch(spark)
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("k"), F.col("ts").cast("timestamp").alias("ts"))
+    e.union(spark.sql("SELECT -1L AS k, TIMESTAMP '2200-01-01 00:00:00' AS ts")).write.parquet(source)
+    _batches(spark, path, ingest.live_spans(spark.readStream.schema(e.schema).parquet(source), "ts", "k", "12 hours", "1 hour"))
+    spans = spark.read.parquet(f"{path}/out").filter("k >= 0")
+    return spans.select("k", F.col("born").cast("timestamp_ntz").alias("born"), F.col("expires").cast("timestamp_ntz").alias("expires"), "writes")
+
+
+@query("SELECT user_id AS k, arg_max(event_type, ts) AS v FROM events GROUP BY 1")
+def stream_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of a stream from its compacted batches."""
+    target = _scratch(spark)
+    ingest.compact(spark, _streamed(spark, sf_dir), target, ["k"], "seq", _WRITES)
+    return ingest.upsert_state(spark, target, ["k"], "seq", _WRITES).select("k", "v")
+
+
+def _error(f: Callable, *args) -> int | None:
+    """The code of the error that a call raises, None for none."""
+    try:
+        f(*args)
+    except EngineError as e:
+        return e.code
+    return None
+
+
+_TEXTS = (
+    ("expression", "item.vv + 1", None), ("expression", "item.vv + 1 rest", 10001), ("expression", "(item.vv", 10001), ("expression", "nope(1)", 10003), ("expression", "one(nope(1))", 10003),
+    ("expression", "item.nope", 10004), ("expression", "$unset", 10004), ("expression", "item.vv + item.id", 10006), ("expression", "one(1, 2)", 10007),
+    ("query", "part.p_size == 3", None), ("query", "part.p_size == 3 )", 10001), ("query", "part.size == 3", 10004), ("query", "other.p_size == 3", 10004), ("query", "part.p_size == f(3)", 10003),
+    ("query", "part.p_size == $three", 10003), ("query", "part.p_brand < 3", 10006),
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{t}', CAST({'NULL' if c is None else c} AS INTEGER))" for k, t, c in _TEXTS) + ") v(kind, text, code)")
+def language_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The error of each text, found before any row is read: expressions over records, queries over a table."""
+    c, db = Compiler(records(spark, sf_dir).schema, _FUNCTIONS), database(spark, sf_dir, "part")
+    return spark.createDataFrame([(k, t, _error(c.compile if k == "expression" else db.compile, t)) for k, t, _ in _TEXTS], "kind string, text string, code int")
+
+
+@query("SELECT p_partkey AS key, CASE WHEN p_size > 25 THEN CAST(p_size + 1 AS BIGINT) END AS a, CASE WHEN p_size > 25 THEN p_size > 30 END AS b FROM part")
+def expr_null_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A missing record on the way to a member makes the expression null."""
+    df = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.struct(F.when(F.col("p_size") > 25, F.struct(F.col("p_size").alias("vv"))).alias("sub")).alias("item"))
+    c = Compiler(df.schema)
+    return df.select("key", c.compile("item.sub.vv+1").alias("a"), c.compile("item.sub.vv>30").alias("b"))
+
+
+@query("SELECT p_partkey AS key, CAST(p_size * 2 + 2 AS BIGINT) AS a, p_size > 7 AND p_brand = 'Brand#11' AS b FROM part")
+def expr_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps, arrays and records go to functions whole."""
+    df = read(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("key"), F.create_map(F.lit("size"), F.col("p_size")).alias("sizes"), F.array("p_brand", "p_type").alias("words"), F.struct(F.col("p_size").alias("n")).alias("whole")
+    )
+    functions = {
+        "at_size": Function(lambda m: m["size"].cast("long"), "int", 1),
+        "length": Function(lambda a: F.size(a).cast("long"), "int", 1),
+        "has": Function(lambda a, w: F.array_contains(a, w), "bool", 2),
+        "large": Function(lambda r: r["n"] > 7, "bool", 1),
+    }
+    c = Compiler(df.schema, functions)
+    return df.select("key", c.compile("at_size(sizes)*2+length(words)").alias("a"), c.compile('large(whole) && has(words, "Brand#11")').alias("b"))
+
+
+@query("SELECT p_partkey AS key, CAST(p_size * 2 - p_partkey AS BIGINT) AS a FROM part")
+def expr_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that begin as literals do."""
+    df = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_size").alias("truest"), F.struct(F.col("p_partkey").alias("_n1")).alias("falsehood"))
+    return df.select("key", Compiler(df.schema).compile("truest*2-falsehood._n1").alias("a"))
+
+
+def _flows() -> Manager:
+    m = Manager(OPS)
+    m.load(FLOWS, "flows")
+    return m
+
+
+@OPS.op("above", least=300000.0)
+def dear_orders(orders: DataFrame, params) -> DataFrame:
+    return orders.filter(F.col("o_totalprice") > params["least"])
+
+
+@OPS.op("held")
+def held_orders(orders: DataFrame) -> DataFrame:
+    return orders.filter(F.col("o_orderstatus").isin(OPS.get("words", "open")))
+
+
+OPS.resource("words", "open", lambda: ["O", "P"])
+
+MORE_FLOWS = """
+strict_dsl = false
+[[config_setting]]
+name = "strict_prices"
+cond = '$mode=="strict"'
+[[graph]]
+name = "chosen"
+priority = 1
+[[graph.vertex]]
+processor = "big_orders"
+args = { least = 100000 }
+[[graph]]
+name = "chosen"
+priority = 3
+expect_version = "2"
+[[graph.vertex]]
+processor = "big_orders"
+args = { least = 200000 }
+[[graph]]
+name = "chosen"
+priority = 2
+[[graph.vertex]]
+processor = "big_orders"
+args = { least = 300000 }
+[[graph]]
+name = "inherited"
+[[graph.vertex]]
+processor = "big_orders"
+[[graph]]
+name = "masked"
+[[graph.vertex]]
+processor = "failing"
+successor_on_ok = ["big_orders"]
+successor_on_err = ["small_orders"]
+[[graph.vertex]]
+processor = "big_orders"
+args = { least = 100000 }
+[[graph.vertex]]
+processor = "small_orders"
+args = { least = 100000 }
+[[graph]]
+name = "renamed"
+[[graph.vertex]]
+processor = "big_orders"
+input = [{ field = "orders", id = "$source", extern = true, required = true }]
+args = { least = 100000 }
+[[graph]]
+name = "moved"
+[[graph.vertex]]
+processor = "big_orders"
+args = { least = 100000 }
+[[graph.vertex]]
+id = "first"
+processor = "by_status"
+input = [{ field = "rows", id = "big", move = true }]
+[[graph.vertex]]
+id = "second"
+processor = "small_orders"
+input = [{ field = "orders", id = "big", required = true }]
+deps = ["first"]
+args = { least = 1 }
+[[graph]]
+name = "held"
+[[graph.vertex]]
+processor = "held_orders"
+start = true
+[[graph]]
+name = "gated"
+[[graph.vertex]]
+processor = "big_orders"
+expect_config = "strict_prices"
+args = { least = 100000 }
+"""
+
+
+def _more_flow(name: str, graph: str, out: str, sql: str, data: tuple[str, ...] = ("orders",), version: str | None = None, **params) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        m = Manager(OPS)
+        m.load(MORE_FLOWS, "more", version)
+        return m.run("more", graph, dict.fromkeys(data, read(spark, sf_dir, "orders")), params)[out]
+
+    run.__name__, run.__doc__ = name, f"Datum {out} of graph {graph}."
+    query(sql)(run)
+
+
+_DEARER = "SELECT * FROM orders WHERE o_totalprice > {}"
+_more_flow("flow_priority", "chosen", "big", _DEARER.format(200000), version="2")
+_more_flow("flow_version", "chosen", "big", _DEARER.format(300000), version="1")
+_more_flow("flow_params_chain", "inherited", "big", _DEARER.format(250000), least=250000)
+_more_flow("flow_error_masked", "masked", "big", _DEARER.format(100000))
+_more_flow("flow_dynamic_name", "renamed", "big", _DEARER.format(100000), data=("elsewhere",), source="elsewhere")
+_more_flow("flow_moved", "moved", "counts", _COUNTS)
+_more_flow("flow_resource", "held", "held", "SELECT * FROM orders WHERE o_orderstatus IN ('O', 'P')")
+_more_flow("flow_params_text", "gated", "big", _DEARER.format(100000), **params_of_text("mode=strict,unused=true"))
+
+
+@query(_DEARER.format(300000))
+def flow_default_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One operation on its own, with its declared parameters."""
+    return Manager(OPS).run_op("dear_orders", {"orders": read(spark, sf_dir, "orders")})["above"]
+
+
+@query(_DEARER.format(50000))
+def flow_single_op(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Manager(OPS).run_op("dear_orders", {"orders": read(spark, sf_dir, "orders")}, {"least": 50000})["above"]
+
+
+@query("SELECT * FROM (VALUES ('failed', 'failing', 'err'), ('failed', 'big_orders', 'skip'), ('failed', 'small_orders', 'ok'), ('failed', 'tagged', 'ok'), ('moved', 'big_orders', 'ok'), ('moved', 'first', 'ok'), ('moved', 'second', 'err'), ('late', 'big_orders', 'skip'), ('late', 'by_status', 'skip')) v(run, vertex, result)")
+def flow_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of every vertex: a run with an error, one whose datum was moved away, and one that is late from its start."""
+    m, orders = _flows(), {"orders": read(spark, sf_dir, "orders")}
+    m.load(MORE_FLOWS, "more")
+    runs = {"failed": m.run("flows", "failed", orders), "moved": m.run("more", "moved", orders), "late": m.run("flows", "linear", orders, timeout=-1)}
+    return spark.createDataFrame([(name, v, r) for name, done in runs.items() for v, r in done.results.items()], "run string, vertex string, result string")
+
+
+@query("SELECT * FROM (VALUES (0, 'big_orders', 'orders', 'big'), (1, 'by_status', 'rows', 'counts')) v(place, vertex, inputs, outputs)")
+def flow_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vertices of a graph in order: their ids are those of their operations, their data those of the arguments."""
+    g = _flows().clusters["flows"].graphs["linear"]
+    names = lambda data: ",".join(d.field for d in data)
+    return spark.createDataFrame([(n, i, names(g.vertices[i].input), names(g.vertices[i].output)) for n, i in enumerate(g.order())], "place int, vertex string, inputs string, outputs string")
+
+
+_VERTEX = "[[graph.vertex]]\n{}\n"
+_REFUSED = (
+    ("cycle", 'id="a"\nprocessor="big_orders"\ndeps=["b"]', 'id="b"\nprocessor="small_orders"\ndeps=["a"]'),
+    ("two vertices of one id", 'id="a"\nprocessor="big_orders"\nstart=true', 'id="a"\nprocessor="small_orders"\nstart=true'),
+    ("two producers of one datum", 'id="a"\nprocessor="big_orders"\nstart=true', 'id="b"\nprocessor="big_orders"\nstart=true'),
+    ("a vertex alone", 'processor="big_orders"', 'processor="small_orders"'),
+    ("a start after another", 'processor="big_orders"\nsuccessor=["small_orders"]', 'processor="small_orders"\nstart=true'),
+    ("a date as argument", 'processor="big_orders"\nargs={least=2024-01-01}'),
+    ("an unknown vertex", 'processor="big_orders"\ndeps=["none"]'),
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', 20001)" for c, *_ in _REFUSED) + ", ('none', NULL)) v(fault, code)")
+def flow_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The errors of graphs that cannot be built, and none of one that can."""
+    text = lambda vertices: 'strict_dsl = false\n[[graph]]\nname = "g"\n' + "".join(map(_VERTEX.format, vertices))
+    cases = (*_REFUSED, ("none", 'processor="big_orders"\nargs={least=1, many=[1, 2], more={x="y"}}'))
+    return spark.createDataFrame([(c, _error(Manager(OPS).load, text(v), c)) for c, *v in cases], "fault string, code int")
+
+
+@query("SELECT * FROM (VALUES ('linear', true), ('none', false)) v(graph, found)")
+def flow_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _flows()
+    return spark.createDataFrame([(g, m.exists("flows", g)) for g in ("linear", "none")], "graph string, found boolean")
+
+
+@query("SELECT * FROM (VALUES ('big_orders', 'orders', 'big', '{}'), ('by_status', 'rows', 'counts', '{}'), ('dear_orders', 'orders', 'above', '{\"least\": 300000.0}')) v(name, inputs, outputs, params)")
+def flow_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the registry tells of some operations."""
+    told = [d for d in OPS.describe() if d["name"] in ("big_orders", "by_status", "dear_orders")]
+    return spark.createDataFrame([(d["name"], ",".join(d["inputs"]), ",".join(d["outputs"]), json.dumps(d["params"])) for d in told], "name string, inputs string, outputs string, params string")
+
+
+@query("SELECT * FROM (VALUES ('diamond', 1), ('box', 3), ('Msquare', 2), ('box3d', 0), ('dashed', 2), ('bold', 2)) v(style, n)")
+def flow_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes and edges by style in the picture of a graph with a branch."""
+    dot = _flows().clusters["flows"].graphs["branch"].dot()
+    counts = [(s, len(re.findall(rf"=(?:{s})\b", dot))) for s in ("diamond", "box", "Msquare", "box3d", "dashed", "bold")]
+    return spark.createDataFrame(counts, "style string, n int")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first page of a conjunction of an exclusive word and a number."""
     return page(database(spark, sf_dir, "orders").select('orders.o_orderstatus=="F" && orders.o_totalprice>100000').matched)

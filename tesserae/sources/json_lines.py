@@ -90,8 +90,8 @@ def builder(name: str) -> Builder:
 
 
 def encoded(column: Column) -> Column:
-    """Bytes as base64 text."""
-    return F.base64(column)
+    """Bytes as base64 text in one line: Spark breaks it at 76 characters."""
+    return F.translate(F.base64(column), "\r\n", "")
 
 
 def decoded(column: Column) -> Column:

@@ -196,6 +196,7 @@ def test_json_lines(spark, tmp_path):
     b = json_lines.register("letters", schema, "k")
     assert json_lines.BUILDERS["letters"] is b and b.lookup(base, inc).count() == 1
     df = spark.createDataFrame([(b"abc", "!!")], "raw binary, bad string")
+    assert "\n" not in spark.range(1).select(json_lines.encoded(F.repeat(F.lit("ab"), 300).cast("binary")).alias("x")).first().x
     got = df.select(json_lines.decoded(json_lines.encoded(F.col("raw"))).alias("x"), json_lines.decoded(F.col("bad")).alias("y")).first()
     assert bytes(got.x) == b"abc" and got.y is None
 
