@@ -28,6 +28,8 @@ from .kernels import slices, span_hashes, words
 CAPACITY = 2048
 #: Pieces of one length are ranked within salts of about this many.
 RANK_GROUP = 4_000
+#: Salts whose counts one task sums.
+SALT_BLOCK = 4_096
 #: A worker's memo of chunk -> token ids is emptied at this many ids.
 MEMO_IDS = 6_000_000
 WHITE = " \t\n\v\f\r"
@@ -291,6 +293,17 @@ def _place(plan_json: str):
     return run
 
 
+def _bases(counts: DataFrame) -> DataFrame:
+    """(length, salt, base): how many pieces of a length are in lesser salts, from counts (length, salt, n).
+
+    Summed in blocks of SALT_BLOCK salts, then over the blocks, so that no task holds all salts of a frequent length.
+    """
+    blocks = counts.withColumn("block", F.floor(F.col("salt") / SALT_BLOCK))
+    less = lambda order, *keys: F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    above = blocks.groupBy("length", "block").agg(F.sum("n").alias("n")).select("length", "block", less("block", "length").alias("above"))
+    return blocks.withColumn("base", less("salt", "length", "block")).join(above, ["length", "block"]).select("length", "salt", (F.col("base") + F.col("above")).alias("base"))
+
+
 def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, if kept).
 
@@ -310,8 +323,7 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
         by.setdefault(r.length, []).append([r.first, r.bin, r.each, r.offset])
     salts = max(1, sum(histogram.values()) // RANK_GROUP)
     salted = pieces.withColumn("salt", bucket_of(F.concat_ws(":", "doc_id", "piece"), salts))
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    bases = salted.groupBy("length", "salt").count().withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0))).select("length", "salt", "base")
+    bases = _bases(table(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "salts"))
     inside = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = salted.withColumn("rank", inside).join(bases, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("base"))
     names = pieces.columns

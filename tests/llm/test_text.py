@@ -364,6 +364,7 @@ def check_packing(rows, texts, capacity=2048):
 
 def test_packing(spark, sf, monkeypatch):
     monkeypatch.setattr(packing, "RANK_GROUP", 20)
+    monkeypatch.setattr(packing, "SALT_BLOCK", 2)
     rows = QUERIES["op4_packing"](spark, sf).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     check_packing(rows, texts)
