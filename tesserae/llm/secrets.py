@@ -30,6 +30,9 @@ ALLOWED = (
     "|^AKIA[A-Z0-9]{0,12}EXAMPLE$|^[A-Za-z0-9/+]{30}EXAMPLEKEY$"
 )
 
+#: The same for Java's matcher, which recurses at each round of a group unless it is possessive; a round ends where its separator does, so none would be given back.
+_ALLOWED = ALLOWED.replace(")+$", ")++$")
+
 #: Counts of a window are fields of 5 bits, 12 in a long; a character's field is its code less that of "+", the least one.
 _FIELDS, _WORDS, _LEAST = 12, 7, ord("+")
 #: c log2 c in units of 2 ** -40: sums of integers do not drift, however long a candidate is.
@@ -137,7 +140,7 @@ def _windows(body: Column, bits: Column) -> Column:
 
 def _entropy_spans(text: Column, base: Column) -> Column:
     blanked = _replaced(text, base, lambda x, c: F.repeat(F.lit(" "), F.greatest(x["end"] - F.greatest(x["start"], c), F.lit(0))))
-    candidates = F.filter(_let(blanked, lambda t: _spans(t, CANDIDATE, 3)), lambda c: ~c["body"].rlike(ALLOWED))
+    candidates = F.filter(_let(blanked, lambda t: _spans(t, CANDIDATE, 3)), lambda c: ~c["body"].rlike(_ALLOWED))
     bits = lambda body: F.when(body.rlike("^[0-9a-fA-F]+$"), HEX_BITS).when(body.rlike("^[0-9a-zA-Z]+$"), ALNUM_BITS).otherwise(F.lit(MIXED_BITS))
     windows = lambda c: _let(bits(c["body"]), lambda b: _windows(c["body"], b))
     tried = F.transform(candidates, lambda c: F.struct(c["start"].alias("start"), windows(c).alias("w")))

@@ -350,6 +350,14 @@ def test_many_and_long_secrets(spark):
     assert clean[1] == mixed[:a] + "[SECRET]" + mixed[b:] and clean[2].count("[SECRET]") >= 20_000 and clean[3].count("[SECRET]") == len({(s[0], s[2]) for s in got[3].secret_spans if s[1] == 0})
 
 
+def test_long_candidates_of_short_parts(spark):
+    """Candidates that the allow-list takes as a path, a hundred thousand parts long."""
+    texts = {1: "a1/" * 100_000, 2: "ab1-" * 50_000, 3: "x " + "a1/" * 9, 4: "a1/" * 50_000 + "q7Zk2Wm9Xc4Vb8Nl3Tr6"}
+    got = {r.doc_id: [tuple(s) for s in r.secret_spans] for r in secrets.scan_secrets(docs(spark, list(texts.items()), False)).collect()}
+    assert got[1] == got[2] == got[3] == [] == plain_spans(texts[3])
+    assert len(got[4]) == 1 and got[4][0][2] == len(texts[4])
+
+
 def test_no_python_in_native_plans(spark, sf):
     for name in ("op7_secrets", "op10_urls"):
         plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
