@@ -60,7 +60,10 @@ FAN_IN = 64
 #: Wrappers of this many bytes in all, or fewer, are broadcast; beyond, they are joined.
 BROADCAST_BYTES = 16_000_000
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"<]*+"|'[^'<]*+'|["'])*+)>""", re.S)
+_MARK = r"<!--(?:-?>|.*?(?:-->|\Z))|<[!?][^>]*+(?P<mark>>?)"
+#: Comments and declarations, and tags; what has no end takes the rest of the page.
+_MARKS = re.compile(_MARK, re.S)
+_TOKEN = re.compile(_MARK + r"""|<(?P<slash>/?)(?P<tag>[a-zA-Z][^\s/<>"']*+)(?P<attrs>(?:[^>"']|"[^"<]*+"|'[^'<]*+'|["'])*+)(?P<end>>?)""", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _WORD = re.compile("[a-z0-9]+")
@@ -109,6 +112,7 @@ def parse(page: str) -> list:
     count: dict[str, int] = {"": 1}
     known: dict[tuple[str, str], tuple[str, bool, bool]] = {}
     saved: dict[bool, list[list]] = {}
+    done = [0, 0]  # how many open elements have been looked through for `saved`
     deep: list[tuple[list, list]] = []  # (element, its parent) of those below MAX_DEPTH, parents first
     blocks: list[tuple[list, list]] = []  # (block of the tree, the deep element it is in)
     linked = plain = False
@@ -136,26 +140,35 @@ def parse(page: str) -> list:
 
     def close(tag: str) -> None:
         """Ends the innermost element of this name and what is in it."""
+        nonlocal words
         flush()
         while True:
             last = tags.pop()
             stack.pop()
-            by_word.pop()
+            words -= by_word.pop()
             count[last] -= 1
             if last == tag:
+                done[:] = (min(n, len(tags)) for n in done)
                 return
 
-    at, raw_until = 0, -1
-    for m in _TOKEN.finditer(page):
-        if m.start() < raw_until:
+    at = start = words = 0  # words: how many of by_word are set
+    token = _TOKEN
+    while (m := token.search(page, start)) is not None:
+        if m["mark"] == "":  # no > follows: all is text but a comment, which takes the rest
+            start = page.find("<!--", m.start())
+            take(page[at:start] if start >= 0 else page[at:])
+            at = len(page)
+            break
+        tag = m["tag"] if token is _TOKEN else None
+        if tag is not None and not m["end"]:  # a tag without an end is text, and no tag in it has one, as quotes never hold a <
+            token, start = _MARKS, m.start() + 1
             continue
         take(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
+        at = start = m.end()
         if tag is None:
             continue
-        tag = tag.lower()
-        if m[1]:
+        tag, attrs = tag.lower(), m["attrs"]
+        if m["slash"]:
             if tag in INLINE:
                 if tag == "body":
                     flush()
@@ -167,13 +180,9 @@ def parse(page: str) -> list:
                 flush()
             continue
         if tag in RAW:
-            end = re.compile(f"</{tag}", re.I).search(page, at)
-            raw_until = end.start() if end else len(page)
-            at = raw_until
-            if end is None:
-                break
-            shut = page.find(">", at)
-            at = raw_until = shut + 1 if shut >= 0 else len(page)
+            shut = re.compile(f"</{tag}", re.I).search(page, at)
+            last = page.find(">", shut.start()) if shut else -1
+            at = start = last + 1 if last >= 0 else len(page)
             continue
         if tag in INLINE:
             if tag == "br":
@@ -181,7 +190,7 @@ def parse(page: str) -> list:
             elif tag == "body":
                 flush()
             elif tag == "a":
-                linked = _HREF.search(m[3]) is not None
+                linked = _HREF.search(attrs) is not None
             continue
         flush()
         if tag in CLOSES_P and count.get("p"):
@@ -191,7 +200,7 @@ def parse(page: str) -> list:
                 close(other)
         if tag in VOID:
             continue
-        key = (tag, m[3])
+        key = (tag, attrs)
         if key not in known:
             known[key] = _label(*key)
         label, dropped, named = known[key]
@@ -200,10 +209,12 @@ def parse(page: str) -> list:
         is_main = label.split(".")[0] in MAIN
         if is_main and not dropped:
             inner = len(tags)
-            while inner and True in by_word and tags[inner - 1] != "article":
+            while inner > done[named] and words and tags[inner - 1] != "article":
                 inner -= 1
             saved.setdefault(named, []).extend(n for n, w in zip(stack[inner:], by_word[inner:]) if w)
+            done[named] = len(tags)
         by_word.append(named and not dropped and not is_main)
+        words += by_word[-1]
         node = [label, dropped or by_word[-1], [], []]
         if len(stack) < MAX_DEPTH:
             stack[-1][2].append(node)
@@ -212,8 +223,7 @@ def parse(page: str) -> list:
         stack.append(node)
         tags.append(tag)
         count[tag] = count.get(tag, 0) + 1
-    if raw_until < len(page):
-        take(page[at:])
+    take(page[at:])
     flush()
     for n in saved.get(False, saved.get(True, [])):
         n[1] = False

@@ -447,6 +447,23 @@ def test_malformed_pages(page):
     assert isinstance(html_text.text_of(page, w, {}, "h"), str)
 
 
+@pytest.mark.parametrize("unit", ["<a ", "<a", "<!", '<a "x\' ', "</a ", "<p class=a ", '<a "x>y" ', "<!--", "<div class=sidebar><main>", "&#x", "<script>"])
+def test_pages_without_ends(unit):
+    """A hundred thousand tags, declarations or references without an end, in time linear in them."""
+    began = time.monotonic()
+    tree = html_text.parse("<p>Before.</p>" + unit * 100_000)
+    assert time.monotonic() - began < 10 and tree[2][0][2][0][3] == [("Before.", True)]
+
+
+def test_marks_in_scripts_and_tags_without_ends():
+    text = lambda p: [t for s in html_text._slots(html_text.group(html_text.parse(p))) for t, _ in s[3]]
+    assert text('<script>var s = "<!--";</script><p>Kept.</p>') == ["Kept."]
+    assert text("<p>One</p><!--><p>Two</p>") == ["One", "Two"]
+    assert text("a <b <!-- c --> d") == ["a d"]  # the tag holds the comment
+    assert text("a < b <! x <!-- gone") == ["a < b <! x"]
+    assert text("<p>a</p>b <i c") == ["a", "b <i c"]
+
+
 def test_malformed_texts():
     text = lambda p: html_text.text_of(p, html_text.mark(html_text.first_wrapper(html_text.group(html_text.parse(p)), 1)), {}, "h")
     assert text("<p>a<p>b</div></p>") == "a\n\nb" and text('<p title="a>b">c</p>') == "c" and text("<table><tr><td>1<td>2<tr><td>3</table>") == "1\n\n2\n\n3"
