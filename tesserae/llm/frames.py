@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; without one there is nowhere that all executors could read."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -21,6 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lets Python see BATCH_ROWS rows at a time, unless the session says how many: Spark's own number, 10,000, is of rows whatever
+    their length, and a task holds several such batches of texts beside its heap."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def partition_keys(n: int) -> np.ndarray:
     """An int for each of n partitions that Spark's hash partitioning by an int column deals to it, so that n groups are one to a partition."""
     out, left, start = np.full(n, -1, np.int64), n, 0
