@@ -12,21 +12,24 @@ from pyspark.sql import functions as F
 
 from tesserae.llm import decontaminate, near_dup, packing, secrets, toxicity
 from tesserae.llm.catalog import tokenizer_path
-from tesserae.llm.frames import table
+from tesserae.llm.frames import bounded_batches, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
+    bounded_batches(spark)
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
+    bounded_batches(spark)
     return near_dup.drop_near_duplicates(docs).select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    bounded_batches(spark)
     return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -38,6 +41,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents become pieces of sequences of at most 2048 tokens."""
+    bounded_batches(spark)
     return packing.pack(docs, tokenizer_path())
 
 
