@@ -301,7 +301,7 @@ def _bases(counts: DataFrame) -> DataFrame:
     blocks = counts.withColumn("block", F.floor(F.col("salt") / SALT_BLOCK))
     less = lambda order, *keys: F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     above = blocks.groupBy("length", "block").agg(F.sum("n").alias("n")).select("length", "block", less("block", "length").alias("above"))
-    return blocks.withColumn("base", less("salt", "length", "block")).join(above, ["length", "block"]).select("length", "salt", (F.col("base") + F.col("above")).alias("base"))
+    return blocks.withColumn("base", less("salt", "length", "block")).join(above.hint("merge"), ["length", "block"]).select("length", "salt", (F.col("base") + F.col("above")).alias("base"))
 
 
 def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
@@ -325,6 +325,7 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
     salted = pieces.withColumn("salt", bucket_of(F.concat_ws(":", "doc_id", "piece"), salts))
     bases = _bases(table(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "salts"))
     inside = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = salted.withColumn("rank", inside).join(bases, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("base"))
+    # merged, not broadcast: the rows lie by length and salt already, and the bases grow with the corpus
+    ranked = salted.withColumn("rank", inside).join(bases.hint("merge"), ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("base"))
     names = pieces.columns
     return ranked.select(*names, F.col("rank").cast("long").alias("rank")).mapInArrow(_place(json.dumps(by)), kinds + ", sequence_id long, offset long")
