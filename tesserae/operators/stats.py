@@ -61,17 +61,11 @@ def slice_counts(df: DataFrame, value: str, low: int, high: int) -> DataFrame:
 
 
 def order_image(column: Column) -> Column:
-    """The unsigned image of a 32-bit float that keeps its order, as long."""
-    bits = F.conv(F.hex(_float_bits(column)), 16, 10).cast("long")
-    return F.when(bits < (1 << 31), bits + (1 << 31)).otherwise(F.lit((1 << 32) - 1) - bits)
+    """The unsigned image of a 32-bit float's bits that keeps its order, -0.0 just below 0.0, as long."""
+    bits = _float_bits(column.cast("float"))
+    return F.when(bits >= 0, bits + (1 << 31)).otherwise(F.lit(-1) - bits)
 
 
 def _float_bits(column: Column) -> Column:
-    """The four bytes of a float, computed from its sign, exponent and fraction."""
-    x = F.abs(column.cast("float").cast("double"))
-    e = F.when(x == 0, F.lit(-127)).otherwise(F.greatest(F.floor(F.log2(x)).cast("int"), F.lit(-126)))
-    e = F.when(x == 0, e).when(x >= F.pow(F.lit(2.0), e + 1), e + 1).when((x < F.pow(F.lit(2.0), e)) & (e > -126), e - 1).otherwise(e)
-    normal = x >= F.pow(F.lit(2.0), F.lit(-126))
-    part = F.when(normal, (x / F.pow(F.lit(2.0), e) - 1) * (1 << 23)).otherwise(x * F.pow(F.lit(2.0), F.lit(149)))
-    bits = F.when(normal, (e + 127) * (1 << 23)).otherwise(F.lit(0)).cast("long") + part.cast("long")
-    return bits + F.when(column < 0, F.lit(1 << 31)).otherwise(F.lit(0))
+    """The four bytes of a float as a signed number; arithmetic would see neither the sign of a zero nor that of NaN."""
+    return F.when(column.isNotNull(), F.reflect(F.lit("java.lang.Float"), F.lit("floatToRawIntBits"), column).cast("long"))

@@ -1,5 +1,7 @@
 """Every query of the core catalogue against its SQL."""
 
+import math
+
 import pytest
 
 from tesserae.queries import ORACLES, QUERIES, flagship
@@ -17,6 +19,15 @@ def test_query(spark, sf, con, name):
     same(QUERIES[name](spark, sf), con, ORACLES[name])
 
 
+@pytest.mark.parametrize("balances", [[0.0, -0.0, 0.01, -0.01, None], [1e-60, -1e-60, 1e-45, -1e-45, 3.4e38], [math.inf, -math.inf, math.nan, -math.nan]])
+def test_float_image_of_odd_balances(spark, sf, tmp_path, balances):
+    """A rounded balance may be -0.0, of which there are none in the small tables."""
+    spark.createDataFrame(list(enumerate(balances)), "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    con = connection(sf)
+    con.execute(f"CREATE OR REPLACE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    same(QUERIES["float_order_image"](spark, str(tmp_path)), con, ORACLES["float_order_image"])
+
+
 def test_without_sql(spark, sf):
     rows = {r.doc_id: r.json for r in QUERIES["json_write_nodefaults"](spark, sf).collect()}
     labels = {r.doc_id: (r.quality, r.toxic) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}

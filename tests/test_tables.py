@@ -2,6 +2,7 @@
 
 import dataclasses
 import json
+import math
 import random
 import struct
 
@@ -116,6 +117,19 @@ def test_float_image(spark):
         assert r.i == (bits | 1 << 31 if r.x >= 0 else ~bits & 0xFFFFFFFF), r.x
 
 
+def test_float_image_is_of_the_bits(spark):
+    """Rows sort by it as the floats do; both zeros, values too small for a float, infinities and NaN of either sign have one."""
+    rising = [-math.inf, -3.4e38, -1.0, -1.17549435e-38, -1e-45, -1e-60, 1e-60, 1e-45, 1.17549435e-38, 1.0, 3.4e38, math.inf]
+    df = spark.createDataFrame([(x,) for x in [*rising, -0.0, 0.0, math.nan, -math.nan, None]], "x double")
+    got = [(x, i) for x, i in df.select("x", stats.order_image(F.col("x")).alias("i")).collect()]
+    for x, i in got[:-1]:
+        (bits,) = struct.unpack("I", struct.pack("f", x))
+        assert i == (~bits & 0xFFFFFFFF if bits >> 31 else bits | 1 << 31), x
+    assert got[-1] == (None, None)
+    falling = spark.createDataFrame([(x,) for x in reversed(rising)], "x double")
+    assert [r.x for r in falling.orderBy(stats.order_image(F.col("x"))).collect()] == rising
+
+
 def test_keyed_store(spark):
     w = spark.createDataFrame([("k", "f1", "a", 1, False), ("k", "f1", "b", 2, False), ("k", "f2", "c", 3, False), ("k", "f2", None, 4, True), ("j", "f1", "z", 1, False)], "key string, field string, value string, seq long, gone boolean")
     assert {(r.key, r.field, r.value) for r in keyed.state(w, ["key", "field"], deleted="gone").collect()} == {("k", "f1", "b"), ("j", "f1", "z")}
